@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lz_fingerprint, packing, secrets, simhash, token_store
+from . import chat, lz_fingerprint, packing, secrets, simhash, token_store, toxicity
 from .common import table
 
 
@@ -19,6 +19,22 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def toxic_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with ``score``; nothing is learnt from rows whose fold is 2."""
+    fold = toxicity.fold(F.col("doc_id"))
+    model, weights = toxicity.train(docs, labels, counted=fold.isin(0, 1), calibrated=fold == 3)
+    return toxicity.score(docs, model, weights)
+
+
+TOXIC_AT = 0.3
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxic_scores(spark, docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     uri, manifest = token_store.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -42,7 +58,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op6_token_store, op7_packing, op8_lz_fingerprint, op9_chat_format)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op4_toxicity, op6_token_store, op7_packing, op8_lz_fingerprint, op9_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
