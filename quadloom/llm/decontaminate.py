@@ -127,8 +127,7 @@ class Tier:
                 impact = top[terms]
                 if impact.sum() >= need:
                     for item in self.retrieve(terms[impact > 0]):
-                        yield s, item
-
+                                yield s, item
 
     def verified(self, item: int, shingles: set[tuple[str, ...]], words: list[str], overlap: float) -> tuple[float, float] | None:
         """The shares of the item's question and answer that the document has, if both suffice."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lz_fingerprint, packing, secrets, simhash, token_store, toxicity
+from . import chat, decontaminate, html_text, line_dedup, lz_fingerprint, packing, secrets, simhash, token_store, toxicity
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_deleted")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -35,6 +40,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "sources", "chars_deleted")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     uri, manifest = token_store.write(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -57,8 +67,15 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_events(chat.turns_as_events(rows)))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op3_secret_scan, op4_toxicity, op6_token_store, op7_packing, op8_lz_fingerprint, op9_chat_format)}
+    return {
+        f.__name__: f
+        for f in (op1_simhash_near_dedup, op2_html_text, op3_secret_scan, op4_toxicity, op5_line_dedup, op6_token_store, op7_packing, op8_lz_fingerprint, op9_chat_format, op10_decontaminate)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
