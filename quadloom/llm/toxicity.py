@@ -16,7 +16,8 @@ a known stem are still told from ordinary words.
 A word counts once for each document that has it. A document's evidence is the
 length-normalised difference of its two log-likelihoods, over the whole text,
 over the words that stand out, and over the most toxic window of ``WINDOW``
-words, with the sum over the words that stand out. A logistic curve turns these
+words, with the sums over the words that stand out, over each of them once, and
+how many they are. A logistic curve turns these
 into a score; it is fitted to at
 most ``CALIBRATION_ROWS`` labelled documents (those of the least hash) of a fold
 that the counts do not come from.
@@ -46,13 +47,15 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import ship, stage
 
-DEPTH, SLOTS, LOW_SLOTS, DISCOUNT, LOW_DISCOUNT, WINDOW = 8, 1 << 21, 1 << 18, 2.0, 0.75, 64
+DEPTH, SLOTS, LOW_SLOTS, DISCOUNT, LOW_DISCOUNT, WINDOW = 8, 1 << 21, 1 << 18, 1.0, 0.75, 64
 CALIBRATION_ROWS = 20_000
 #: Labels are broadcast up to this many rows, else joined by a shuffle.
 LABELS_BROADCAST = 2_000_000
 _PUNCT = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’¿¡…–—"
 _MEMO_WORDS = 1_000_000
-FEATURES, STRONG = ("mean", "strong", "peak", "sum"), 2.5
+FEATURES = ("mean", "strong", "peak", "sum", "kinds", "kinds_sum")
+#: A word stands out by more than STRONG and counts for CAP at most; chosen on the folds that may be learnt from.
+STRONG, CAP = 1.2, 3.0
 
 
 def fold(doc_id: Column) -> Column:
@@ -203,7 +206,8 @@ def _memo(model: Model) -> dict[str, float]:
 
 def text_evidence(model: Model, texts: list[str | None]) -> np.ndarray:
     """A row of FEATURES for each text. A text's median evidence is what its language and
-    topic say; only words that stand out from it by STRONG count for the last three."""
+    topic say; only words that stand out from it count for all but the first. No word
+    counts for more than CAP, or one that a single document is known for would decide."""
     memo = _memo(model)
     words = [(t or "").lower().split() for t in texts]
     new = list({w for ws in words for w in ws if w not in memo})
@@ -214,10 +218,11 @@ def text_evidence(model: Model, texts: list[str | None]) -> np.ndarray:
     for i, ws in enumerate(words):
         if ws:
             e = np.fromiter(map(memo.__getitem__, ws), np.float64, len(ws))
-            strong = np.maximum(e - np.median(e) - STRONG, 0)
+            strong = np.maximum(np.minimum(e - np.median(e), CAP) - STRONG, 0)
+            kinds = {ws[k]: strong[k] for k in np.flatnonzero(strong).tolist()}
             total = np.concatenate(([0.0], np.cumsum(strong)))
             size = min(WINDOW, len(ws))
-            out[i] = e.mean(), total[-1] / len(ws), (total[size:] - total[:-size]).max() / WINDOW, np.log1p(total[-1])
+            out[i] = e.mean(), total[-1] / len(ws), (total[size:] - total[:-size]).max() / WINDOW, np.log1p(total[-1]), np.log1p(len(kinds)), np.log1p(sum(kinds.values()))
     return out
 
 
