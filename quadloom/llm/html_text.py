@@ -321,7 +321,7 @@ def main_text(pages: DataFrame, broadcast_templates: int = BROADCAST_TEMPLATES)
     # a page is known by its id, address and content; a template that a host has everywhere is dealt to SALTS tasks
     this = F.xxhash64("page_id", "url", "html")
     rows = pages.withColumn("page", this).select("page", "url", "html").mapInArrow(_page_keys, "page long, key long").withColumn("salt", F.pmod("page", F.lit(SALTS)))
-    salted = found.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    salted = found.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     mine = rows.join(salted, ["key", "salt"]).groupBy("page").agg(F.collect_set("key").alias("keys"))
     joined = pages.withColumn("page", this).join(mine, "page", "left").select("page_id", "url", "html", "keys")
     return joined.mapInArrow(_extract(None), out)
