@@ -272,7 +272,7 @@ def hist_lifespan(spark, sf_dir):
 
 
 def hist_changelog(spark, sf_dir):
-    commits = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.floor(F.col("event_id") / 10).cast("bigint").alias("ordinal")).agg(F.min("ts").alias("at"))
+    commits = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.floor(F.col("event_id") / 10).cast("bigint").alias("ordinal")).agg(F.min("ts").alias("moment"))
     return history.change_log(_log(spark, sf_dir), commits)
 
 
@@ -385,7 +385,7 @@ _SQL = {
     "hist_asof": f"WITH {_SQL_LOG}, marks AS (SELECT stmt, max(ordinal) FILTER (op = '+') AS a, max(ordinal) FILTER (op = '-') AS r FROM log WHERE ordinal <= 500 GROUP BY stmt) SELECT stmt FROM marks WHERE a IS NOT NULL AND (r IS NULL OR r < a)",
     "hist_last_op": f"WITH {_SQL_MARKS} SELECT stmt FROM marks WHERE a IS NOT NULL AND (r IS NULL OR r <= a)",
     "hist_lifespan": f"WITH {_SQL_LOG} SELECT a.stmt, a.ordinal AS born, (SELECT min(ordinal) FROM log r WHERE r.stmt = a.stmt AND r.op = '-' AND r.ordinal >= a.ordinal) AS died FROM (SELECT DISTINCT stmt, ordinal FROM log WHERE op = '+') a",
-    "hist_changelog": f"WITH {_SQL_LOG}, c AS (SELECT event_id // 10 AS ordinal, min(ts) AS "at" FROM events GROUP BY 1) SELECT log.ordinal, stmt, op, c."at" FROM log JOIN c ON log.ordinal = c.ordinal",
+    "hist_changelog": f"WITH {_SQL_LOG}, c AS (SELECT event_id // 10 AS ordinal, min(ts) AS moment FROM events GROUP BY 1) SELECT log.ordinal, stmt, op, moment FROM log JOIN c ON log.ordinal = c.ordinal",
     "hist_events": "WITH h AS (SELECT (max(event_id) + 1) / 2 AS x FROM events), o AS (SELECT DISTINCT user_id, CAST(floor(value) AS BIGINT) AS event_type FROM events, h WHERE event_id < x), n AS (SELECT DISTINCT user_id, CAST(floor(value) AS BIGINT) AS event_type FROM events, h WHERE event_id >= x) SELECT *, '+' AS op FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT *, '-' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)",
     "hist_event_ids": f"WITH {_SQL_LOG} SELECT DISTINCT stmt, ordinal, op, substr(sha256(op || '|' || ordinal || '|' || stmt || '|p|o'), 1, 16) AS event_id FROM log",
     "hist_guard": f"WITH {_SQL_LOG} SELECT DISTINCT stmt, op FROM log WHERE ordinal >= 500 AND (op = '+' OR stmt NOT IN (SELECT stmt FROM log WHERE ordinal < 100 AND op = '+'))",
