@@ -31,17 +31,19 @@ further columns are kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, stage
 
-MIN_CHARS, FAN_OUT, BITMAP_BITS = 180, 256, 1 << 26
-CUT = r"(?<=\n)|(?<=[.!?][ \t])(?=[A-IÀ-Ïa-i])"
+MIN_CHARS, FAN_OUT, BITMAP_BITS = 180, 64, 1 << 26
+_CUT = re.compile("\n|[.!?][ \t](?=[A-Ia-iÀ-Ï])")
 _LAST = (1 << 63) - 1
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -59,6 +61,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def lines_of(text: str) -> list[str]:
+    """The text's lines; end to end they are the text."""
+    ends = [m.end() for m in _CUT.finditer(text)]
+    if not ends or ends[-1] != len(text):
+        ends.append(len(text))
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _lined(least: int):
+    """Rows (doc, row, hashes, sizes, lengths) of (doc, row, text): hash and size of each line as it is compared, and its length in the text."""
+
+    def work(batches):
+        h64 = xxhash.xxh64_intdigest
+        for batch in batches:
+            keep, offsets, hashes, sizes, lengths = [], [0], [], [], []
+            for i, text in enumerate(batch.column(2)):
+                text = text.as_py()
+                if len(text) < least:
+                    continue
+                lines = lines_of(text)
+                lengths += map(len, lines)
+                lines = [x.strip().lower() for x in lines]
+                sizes += map(len, lines)
+                hashes += [h64(x.encode("utf-8", "surrogatepass")) for x in lines]
+                keep.append(i)
+                offsets.append(len(hashes))
+            at = pa.array(offsets, pa.int32())
+            columns = [pa.ListArray.from_arrays(at, x) for x in (pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(lengths, pa.int32()))]
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *columns], ["doc", "row", "hashes", "sizes", "lengths"])
+
+    return work
+
+
 def runs(hashes: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of the run that begins at each line, where the text is long enough for one."""
     n = len(hashes)
@@ -192,7 +228,7 @@ def align(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray
 
 
 def _aligned(least: int):
-    """Rows (cell, side, first, doc, hashes, sizes), sorted: side 0 is a cell's first document, side 1 are its partners. Gives (doc, source, start, end)."""
+    """Rows (cell, side, first, row, hashes, sizes, lengths), sorted: side 0 is a cell's first document, side 1 are its partners. Gives (row, source, start, end) in code points."""
 
     def work(batches):
         cell = first = None
@@ -200,6 +236,7 @@ def _aligned(least: int):
             cells, side, source, doc = (batch.column(i).to_pylist() for i in range(4))
             at, hashes = _lists(batch.column(4))
             _, sizes = _lists(batch.column(5))
+            _, lengths = _lists(batch.column(6))
             out = ([], [], [], [])
             for k in range(len(cells)):
                 own = hashes[at[k] : at[k + 1]], sizes[at[k] : at[k + 1]]
@@ -208,9 +245,10 @@ def _aligned(least: int):
                     first = [*first, own] if cell == cells[k] else [own]
                     cell = cells[k]
                 elif cell == cells[k]:
+                    place = [0, *np.cumsum(lengths[at[k] : at[k + 1]]).tolist()]
                     for f in first:
                         for s, e in align(*f, *own, least):
-                            for col, v in zip(out, (doc[k], source[k], s, e)):
+                            for col, v in zip(out, (doc[k], source[k], place[s], place[e])):
                                 col.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["row", "source", "start", "end"])
@@ -228,29 +266,26 @@ def _bitmap(shared: DataFrame) -> np.ndarray:
 
 
 def deletions(docs: DataFrame, least: int = MIN_CHARS, fan_out: int = FAN_OUT) -> DataFrame:
-    """(row, source, start, end): line ranges to delete from each text, and the earlier document that has them.
+    """(row, source, start, end): ranges of code points to delete from each text, and the earlier document that has them.
 
     ``row`` is the hash of a document's id and text.
     """
     spark = docs.sparkSession
     ship(spark)
-    lines = F.split("text", CUT)
-    trimmed = F.transform(lines, lambda x: F.lower(F.trim(F.translate(x, "\n\r\t", "   "))))
-    keyed = docs.select(_doc().alias("doc"), _row().alias("row"), trimmed.alias("lines"))
-    lined = keyed.select("doc", "row", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.length(x)).alias("sizes"))
-    lined = stage(lined.where(F.aggregate("sizes", F.lit(0), lambda a, x: a + x) >= least), "lines")
+    texts = docs.select(_doc().alias("doc"), _row().alias("row"), "text").where(F.length("text") >= least)
+    lined = stage(texts.mapInArrow(_lined(least), "doc long, row long, hashes array<long>, sizes array<int>, lengths array<int>"), "lines")
     arrays = lined.select("doc", "hashes", "sizes")
     seen = arrays.mapInArrow(_run_rows(least), "run long, doc long").groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     shared = stage(seen.where("first < last").select("run", "first"), "shared-runs")
     bitmap = spark.sparkContext.broadcast(_bitmap(shared))
     mine = arrays.mapInArrow(_run_rows(least, bitmap), "run long, doc long")
-    pairs = stage(mine.join(shared, "run").where("first < doc").select("first", "doc").distinct(), "pairs")
+    pairs = stage(mine.join(shared.hint("merge"), "run").where("first < doc").select("first", "doc").distinct(), "pairs")
     # each first document meets its partners in cells of about fan_out
     cells = pairs.groupBy("first").agg(F.ceil(F.count("*") / fan_out).cast("int").alias("cells"))
-    placed = pairs.join(cells, "first").withColumn("cell", F.xxhash64("first", F.pmod(F.xxhash64("doc"), F.col("cells"))))
+    placed = pairs.join(cells.hint("merge"), "first").withColumn("cell", F.xxhash64("first", F.pmod(F.xxhash64("doc"), F.col("cells"))))
     firsts = cells.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - F.lit(1).cast("long"))).alias("k")).withColumn("cell", F.xxhash64("first", "k"))
-    left = firsts.join(lined.select(F.col("doc").alias("first"), "hashes", "sizes"), "first").select("cell", F.lit(0).alias("side"), "first", F.lit(0).cast("long").alias("row"), "hashes", "sizes")
-    right = placed.join(lined, "doc").select("cell", F.lit(1).alias("side"), "first", "row", "hashes", "sizes")
+    left = firsts.join(lined.select(F.col("doc").alias("first"), "hashes", "sizes", "lengths").hint("merge"), "first").select("cell", F.lit(0).alias("side"), "first", F.lit(0).cast("long").alias("row"), "hashes", "sizes", "lengths")
+    right = placed.join(lined.hint("merge"), "doc").select("cell", F.lit(1).alias("side"), "first", "row", "hashes", "sizes", "lengths")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = left.union(right).repartition(n, "cell").sortWithinPartitions("cell", "side")
     return both.mapInArrow(_aligned(least), "row long, source long, start int, end int")
@@ -264,18 +299,34 @@ def _row():
     return F.xxhash64(_doc(), "text")
 
 
+def _kept(batches):
+    """Rows (row, ranges, sources): (row, kept, sources), where ``kept`` has the place and length of each part that stays."""
+    for batch in batches:
+        kept = []
+        for ranges in batch.column(1).to_pylist():
+            parts, at = [], 0
+            for r in sorted(ranges, key=lambda r: (r["start"], r["end"])):
+                if r["start"] > at:
+                    parts.append({"at": at, "n": r["start"] - at})
+                at = max(at, r["end"])
+            parts.append({"at": at, "n": (1 << 31) - 1 - at})
+            kept.append(parts)
+        kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, kind), batch.column(2)], ["_row", "_kept", "_sources"])
+
+
 def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, fan_out: int = FAN_OUT) -> DataFrame:
     """``docs`` with ``text`` shortened and two further columns: ``sources`` (doc_ids of the earlier documents, ascending) and ``chars_deleted``."""
     gone = deletions(docs.select("doc_id", "text"), least, fan_out)
     gone = gone.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("ranges"), F.array_sort(F.collect_set("source")).alias("sources"))
-    gone = stage(gone.withColumnRenamed("row", "_row").withColumnRenamed("ranges", "_ranges").withColumnRenamed("sources", "_sources"), "deletions")
-    joined = docs.withColumn("_row", _row()).join(gone, "_row", "left")
-    kept = F.filter(F.split("text", CUT), lambda x, i: ~F.exists("_ranges", lambda r: (r["start"] <= i) & (i < r["end"])))
-    text = F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    gone = stage(gone.mapInArrow(_kept, "_row long, _kept array<struct<at:int,n:int>>, _sources array<long>"), "deletions")
+    # one plan at every size: what is deleted grows with the corpus, so it is never broadcast
+    joined = docs.withColumn("_row", _row()).join(gone.hint("merge"), "_row", "left")
+    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_kept", lambda k: F.substring("text", k["at"] + 1, k["n"])), ""))
     own = [c for c in docs.columns if c not in ("text", "sources", "chars_deleted")]
-    return joined.select(
+    return joined.withColumn("_text", text).select(
         *own,
-        text.alias("text"),
+        F.col("_text").alias("text"),
         F.coalesce("_sources", F.array().cast("array<bigint>")).alias("sources"),
-        F.coalesce(F.length("text") - F.length(text), F.lit(0)).alias("chars_deleted"),
+        F.coalesce(F.length("text") - F.length("_text"), F.lit(0)).alias("chars_deleted"),
     )
