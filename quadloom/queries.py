@@ -130,7 +130,7 @@ _graph(
 )
 _graph(
     "path_alt",
-    "SELECT ?x ?n WHERE { ?x (:c_nationkey|:s_nationkey) ?n . ?n :n_name \"FRANCE\" }",
+    "SELECT ?x ?n WHERE { ?x (:c_nationkey|:s_nationkey) ?n . ?n :n_name \"NATION_3\" }",
     f"SELECT '{BASE}customer/' || c_custkey AS x, '{BASE}nation/' || n_nationkey AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3' UNION ALL SELECT '{BASE}supplier/' || s_suppkey, '{BASE}nation/' || n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_3'",
 )
 _graph(
