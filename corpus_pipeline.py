@@ -12,12 +12,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import decontaminate, line_dedup, packing, simhash
+from quadloom.llm import decontaminate, line_dedup, near, packing
 from quadloom.llm.common import stage, table
 from quadloom.llm.queries import TOXIC_AT, toxic_scores
 
-#: Near duplicates: five-word shingles; six of 64 bits is a cosine of 0.96 between shingle counts, a similarity over 0.9.
-SHINGLE, RADIUS = 5, 6
+#: Near duplicates: a Jaccard similarity of SIMILAR between sets of five-word shingles. RADIUS is SimHash's share in
+#: proposing them; pairs with more bits apart are proposed by MinHash bands (see near.py).
+SHINGLE, RADIUS, SIMILAR = 5, 6, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +34,12 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by near-equal fingerprints the one of the smallest doc_id stays; of those that share it, the greatest text."""
+    """Of documents joined by a similarity of SIMILAR the one of the smallest doc_id stays; of those that share it, the greatest text."""
     rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = simhash.near_duplicates(rows, shingle=SHINGLE, radius=RADIUS, id_col="_row")
+    groups = near.groups(rows, SHINGLE, RADIUS, SIMILAR)
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_row").alias("c"))
-    named = rows.select("_row", "doc_id").join(groups.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
-    first = named.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.c").alias("_row"))
+    named = rows.select("_row", "doc_id").join(groups, "_row")
+    first = named.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.c").alias("_row"))
     return rows.join(first, "_row", "left_semi").select(docs.columns)
 
 

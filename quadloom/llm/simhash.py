@@ -43,12 +43,12 @@ _SPARE = b" "
 _HEAP = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """The 64-bit SimHash of one text."""
+def _shingles(text: str | None, shingle: int):
+    """How many shingles a text has, and their hashes in parts."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_SPACE).split(_SPARE)
     words = [w for w in words if w]
     if not words:
-        return 0
+        return 0, iter(())
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
@@ -56,9 +56,19 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     n = len(words) - k + 1
     a, b = starts[:n].tolist(), (ends[k - 1 :] - 1).tolist()
     h64 = xxhash.xxh64_intdigest
+    return n, (np.fromiter((h64(joined[x:y], 42) for x, y in zip(a[at : at + _HEAP], b[at : at + _HEAP])), np.uint64, min(_HEAP, n - at)) for at in range(0, n, _HEAP))
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes that a fingerprint is made of, in the order of the text."""
+    return np.concatenate([np.zeros(0, np.uint64), *_shingles(text, shingle)[1]])
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """The 64-bit SimHash of one text."""
+    n, parts = _shingles(text, shingle)
     total = np.zeros(64, np.int64)
-    for at in range(0, n, _HEAP):
-        h = np.fromiter((h64(joined[x:y], 42) for x, y in zip(a[at : at + _HEAP], b[at : at + _HEAP])), np.uint64, min(_HEAP, n - at))
+    for h in parts:
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
     return sum(1 << i for i in np.flatnonzero(2 * total > n).tolist())

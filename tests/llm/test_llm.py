@@ -380,6 +380,43 @@ def test_pipeline(spark):
     assert {r.doc_id for r in rows} == set(kept)
 
 
+def edited_pairs(rng, n, floor, ceil):
+    """Pairs of texts with scattered word edits whose five-word shingles have a Jaccard similarity in [floor, ceil)."""
+    out = []
+    while len(out) < n:
+        a = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        b = list(a)
+        for i in rng.choice(300, rng.integers(1, 9), replace=False):
+            b[i] = f"v{rng.integers(0, 5000)}"
+        x, y = ({tuple(t[i : i + 5]) for i in range(296)} for t in (a, b))
+        if floor <= len(x & y) / len(x | y) < ceil:
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def test_pipeline_near_duplicates_at_the_required_similarity(spark):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(8)
+    near, far = edited_pairs(rng, 60, 0.8, 0.9), edited_pairs(rng, 20, 0.72, 0.8)
+    bits = [(plain_simhash(a, P.SHINGLE) ^ plain_simhash(b, P.SHINGLE)).bit_count() for a, b in near]
+    assert sum(b > P.RADIUS for b in bits) > 20  # what the fingerprints alone lose
+    rows = [(2 * i + k, t, "en", "s", len(t)) for i, pair in enumerate(near + far) for k, t in enumerate(pair)]
+    kept = {r.doc_id for r in P.keep_one_of_each_group(spark, spark.createDataFrame(rows, DOCS), SF).collect()}
+    assert kept == {r[0] for r in rows} - {2 * i + 1 for i in range(60)}
+
+
+def test_near_groups_by_blocks(spark):
+    from quadloom.llm import near
+
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(40)]  # all alike, none equal
+    rows = spark.createDataFrame(list(enumerate([*texts, None, "", "alone"])), "_row long, text string")
+    for block in (4096, 7):
+        got = {r._row: r.group for r in near.groups(rows, block=block).collect()}
+        assert len({got[i] for i in range(40)}) == 1 and got[40] == got[41] and len(set(got.values())) == 3
+
+
 def test_pipeline_odd(spark, odd, none, tmp_path):
     import corpus_pipeline as P
 
