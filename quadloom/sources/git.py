@@ -46,7 +46,7 @@ def tree(spark: SparkSession, root: str, head: str = "HEAD") -> DataFrame:
 def touched(spark: SparkSession, root: str, head: str = "HEAD") -> DataFrame:
     """(commit, status, path, old_path): each commit against its first parent, the first against the empty tree; halves alike are renames."""
     out = []
-    raw = _git(root, "log", "--topo-order", "--reverse", "--first-parent", "-m", "--root", "-M50%", "--name-status", "-z", "--format=%x1e%H", head)
+    raw = _git(root, "log", "--topo-order", "--reverse", "--diff-merges=first-parent", "--root", "-M50%", "--name-status", "-z", "--format=%x1e%H", head)
     for record in raw.split("\x1e")[1:]:
         parts = [p.lstrip("\n") for p in record.split("\0")]
         sha, at = parts[0].strip(), 1

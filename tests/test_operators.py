@@ -154,6 +154,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.stmt for r in event_log.current(spark, str(tmp_path / "state"), ["stmt"]).collect()} == {r.stmt for r in history.live(df, ["stmt"]).collect()}
 
 
+def test_git_touched_follows_merged_branches(spark, tmp_path):
+    import subprocess
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    run("init", "-q", "-b", "main")
+    for branch, name, text in ((None, "a", "one"), ("side", "b", "two"), ("side", "b", "three"), ("main", "c", "four")):
+        if branch:
+            run("checkout", "-q", *(["-b"] if branch == "side" and text == "two" else []), branch)
+        (tmp_path / name).write_text(text)
+        run("add", "."), run("commit", "-qm", text)
+    run("merge", "-q", "--no-ff", "-m", "merge", "side")
+    summary = {r.commit: r.summary for r in git.commits(spark, str(tmp_path)).collect()}
+    got = sorted((summary[r.commit], r.status, r.path) for r in git.touched(spark, str(tmp_path)).collect())
+    assert got == [("four", "A", "c"), ("merge", "A", "b"), ("one", "A", "a"), ("three", "M", "b"), ("two", "A", "b")]
+
+
 def test_git_and_documents(spark, tmp_path):
     import subprocess
 
