@@ -1,25 +1,28 @@
 """Line dedup by pairwise alignment: what a document shares with an earlier one goes from the later.
 
-Lines end at newlines; a long line is also cut behind some of its sentences
-(where the next begins with a letter of the alphabet's first part, so that two
-texts which share a passage share its cuts). They are compared lower-cased and
-trimmed. A document is later than those of smaller doc_id.
-
-* From each line a run begins that is just long enough to hold ``MIN_CHARS``
-  characters. Its hash is rare, unlike those of short lines; a common block of
-  ``MIN_CHARS`` characters holds at least one such run whole.
+Lines end at newlines; a long line is also cut at anchors that its own
+characters name (winnowing: of each ``WINDOW`` places the one whose next
+``GRAM`` characters hash least), so two texts that share a passage share its
+cuts, in any language and without sentence marks. Pieces are compared
+lower-cased and trimmed. A document is later than those of smaller doc_id.
+
+* From each piece a run begins that is just long enough to hold 5/9 of
+  ``MIN_CHARS`` characters. Within a line the first anchor of a common passage is
+  less than ``WINDOW + GRAM`` characters from its start and the last as near to
+  its end, so any common passage of 100 + 2 * 64 + 8 = 236 characters holds one
+  run whole, and most of ``MIN_CHARS`` do.
 * Every run is looked up in the first document that has it. That gives pairs of
   documents, at most one for each run of the later one: a group of copies gives
   a star round its first document, never all pairs.
-* Each pair is aligned by patience diff: lines that are unique on both sides and
+* Each pair is aligned by patience diff: pieces that are unique on both sides and
   in the same order are anchors (found as a longest increasing subsequence),
-  grown over equal neighbours. Aligned blocks of ``MIN_CHARS`` characters are
-  deleted from the later document. What remains is aligned again until no common
-  run is left, so passages that changed places are found too.
+  grown over equal neighbours, and where an end is no line end, over the equal
+  characters of the line, back to the last whole word. Blocks of ``MIN_CHARS``
+  characters are deleted from the later document. What remains is aligned again
+  until no common run is left, so passages that changed places are found too.
 
 A first document with many partners is dealt to several tasks, ``FAN_OUT``
-partners each. Only hashes travel until the last step, which joins the blocks
-to be deleted with the texts. That most runs occur once is used by a bitmap of
+partners each. Texts travel only where they are aligned and shortened. That most runs occur once is used by a bitmap of
 fixed size (``BITMAP_BITS``), which lets most of them stay at home; where it
 fills up, it lets more pass and nothing is lost.
 
@@ -31,7 +34,6 @@ further columns are kept; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 
 import numpy as np
@@ -43,7 +45,8 @@ from pyspark.sql import functions as F
 from .common import ship, stage
 
 MIN_CHARS, FAN_OUT, BITMAP_BITS = 180, 64, 1 << 26
-_CUT = re.compile("\n|[.!?][ \t](?=[A-Ia-iÀ-Ï])")
+WINDOW, GRAM = 64, 8
+_UNSPACED = 0x2E80
 _LAST = (1 << 63) - 1
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -61,36 +64,89 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def folded(text: str) -> str:
+    """The text in lower case, character by character."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _sliding(pick, x: np.ndarray, n: int) -> np.ndarray:
+    """``pick`` over each n neighbours; n is a power of two."""
+    step = 1
+    while step < n:
+        x = pick(x[:-step], x[step:])
+        step *= 2
+    return x
+
+
+def cuts(low: str) -> np.ndarray:
+    """Where the pieces of a folded text end."""
+    c = np.frombuffer((low + "\n" * GRAM).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    newline = c == 10
+    h, step = _mix(c + np.uint64(1)), 1
+    while step < GRAM:
+        h = h[:-step] * (_R + np.uint64(2 * step)) + h[step:]
+        step *= 2
+    h = _mix(h)[: len(low)]
+    # no anchor reads past its line, and a window with a line end in it has none
+    near = np.flatnonzero(newline[: len(low) + 1])
+    for back in range(1, GRAM):
+        at = near - back
+        h[at[at >= 0]] = np.iinfo(np.uint64).max
+    ends = near[near < len(low)]
+    h[ends] = 0
+    if len(h) >= WINDOW:
+        least = _sliding(np.minimum, h, WINDOW)
+        edge = np.zeros(WINDOW - 1, np.uint64)
+        anchor = h == _sliding(np.maximum, np.concatenate((edge, least, edge)), WINDOW)
+        anchor[1:] &= h[1:] != h[:-1]
+        anchor[ends] = False
+        anchor[0] = False
+        ends = np.union1d(ends + 1, np.flatnonzero(anchor))
+    else:
+        ends = ends + 1
+    return ends if len(ends) and ends[-1] == len(low) else np.append(ends, len(low))
+
+
 def lines_of(text: str) -> list[str]:
-    """The text's lines; end to end they are the text."""
-    ends = [m.end() for m in _CUT.finditer(text)]
-    if not ends or ends[-1] != len(text):
-        ends.append(len(text))
+    """The text's pieces; end to end they are the text."""
+    ends = cuts(folded(text)).tolist()
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
+class Pieces:
+    """A text as it is compared: hash and size of each piece, and where pieces begin."""
+
+    def __init__(self, text: str):
+        self.low = folded(text)
+        ends = cuts(self.low).tolist()
+        self.at = [0, *ends]
+        own = [self.low[a:b].strip() for a, b in zip(self.at, ends)]
+        self.sizes = np.fromiter(map(len, own), np.int32, len(own))
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own), np.uint64, len(own)).view(np.int64)
+
+
+def run_chars(least: int) -> int:
+    return max(1, least * 5 // 9)
+
+
 def _lined(least: int):
-    """Rows (doc, row, hashes, sizes, lengths) of (doc, row, text): hash and size of each line as it is compared, and its length in the text."""
+    """Rows (doc, hashes, sizes) of (doc, text): hash and size of each piece as it is compared."""
 
     def work(batches):
-        h64 = xxhash.xxh64_intdigest
         for batch in batches:
-            keep, offsets, hashes, sizes, lengths = [], [0], [], [], []
-            for i, text in enumerate(batch.column(2)):
+            docs, offsets, hashes, sizes = [], [0], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                if len(text) < least:
-                    continue
-                lines = lines_of(text)
-                lengths += map(len, lines)
-                lines = [x.strip().lower() for x in lines]
-                sizes += map(len, lines)
-                hashes += [h64(x.encode("utf-8", "surrogatepass")) for x in lines]
-                keep.append(i)
-                offsets.append(len(hashes))
+                if len(text) >= least:
+                    own = Pieces(text)
+                    hashes.append(own.hashes)
+                    sizes.append(own.sizes)
+                    docs.append(doc)
+                    offsets.append(offsets[-1] + len(own.sizes))
             at = pa.array(offsets, pa.int32())
-            columns = [pa.ListArray.from_arrays(at, x) for x in (pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(lengths, pa.int32()))]
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *columns], ["doc", "row", "hashes", "sizes", "lengths"])
+            flat = [np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((hashes, np.int64), (sizes, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *(pa.ListArray.from_arrays(at, pa.array(x)) for x in flat)], ["doc", "hashes", "sizes"])
 
     return work
 
@@ -189,8 +245,8 @@ def patience_blocks(a: list[int], b: list[int], a_free: list[bool], b_free: list
     return out
 
 
-def align(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, least: int = MIN_CHARS) -> list[tuple[int, int]]:
-    """Line ranges of ``b`` that stand in ``a`` as well, each of ``least`` characters or more."""
+def align(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(start in a, start in b, pieces) of what stands in both, each of ``least`` characters or more."""
     x, y = a.tolist(), b.tolist()
     size = b_sizes.tolist()
     a_free, b_free = [True] * len(x), [True] * len(y)
@@ -205,7 +261,7 @@ def align(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray
         took = False
         for i, j, n in patience_blocks(x, y, a_free, b_free):
             if sum(size[j : j + n]) >= least:
-                out.append((j, j + n))
+                out.append((i, j, n))
                 a_free[i : i + n] = [False] * n
                 b_free[j : j + n] = [False] * n
                 took = True
@@ -219,7 +275,7 @@ def align(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray
                 i, j, n = i - 1, j - 1, n + 1
             while j + n < len(y) and i + n < len(x) and b_free[j + n] and x[i + n] == y[j + n]:
                 n += 1
-            out.append((j, j + n))
+            out.append((i, j, n))
             b_free[j : j + n] = [False] * n
             left = [r for r in left if all(b_free[r[0] : r[1]])]
         # lines of a that were used may serve a second copy within b
@@ -227,28 +283,58 @@ def align(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray
     return sorted(out)
 
 
+def _inside_word(low: str, at: int) -> bool:
+    return 0 < at < len(low) and low[at - 1].isalnum() and low[at].isalnum() and ord(low[at - 1]) < _UNSPACED
+
+
+def common(a: Pieces, b: Pieces, i: int, j: int, n: int) -> tuple[int, int]:
+    """The characters of ``b`` that an aligned block covers: from an end within a line on over equal characters, then back to whole words."""
+    x, y = a.low, b.low
+    s, e = b.at[j], b.at[j + n]
+    p, q = a.at[i], a.at[i + n]
+    if s and y[s - 1] != "\n":
+        while s and p and y[s - 1] == x[p - 1] != "\n":
+            s, p = s - 1, p - 1
+        whole = s
+        while whole < e and _inside_word(y, whole):
+            whole += 1
+        s = whole if whole < e else s
+    if y[e - 1] != "\n":
+        while e < len(y) and q < len(x) and y[e] == x[q] != "\n":
+            e, q = e + 1, q + 1
+        whole = e
+        while whole > s and _inside_word(y, whole):
+            whole -= 1
+        e = whole if whole > s else e
+    return s, e
+
+
+def shared_ranges(a: Pieces, b: Pieces, least: int = MIN_CHARS) -> list[tuple[int, int]]:
+    """Ranges of characters of ``b`` that stand in ``a`` as well, each of ``least`` or more."""
+    found = (common(a, b, *x) for x in align(a.hashes, a.sizes, b.hashes, b.sizes, run_chars(least)))
+    return sorted({(s, e) for s, e in found if len(b.low[s:e].strip()) >= least})
+
+
 def _aligned(least: int):
-    """Rows (cell, side, first, row, hashes, sizes, lengths), sorted: side 0 is a cell's first document, side 1 are its partners. Gives (row, source, start, end) in code points."""
+    """Rows (cell, side, first, row, text), sorted: side 0 is a cell's first document, side 1 are its partners. Gives (row, source, start, end) in code points."""
 
     def work(batches):
         cell = first = None
         for batch in batches:
             cells, side, source, doc = (batch.column(i).to_pylist() for i in range(4))
-            at, hashes = _lists(batch.column(4))
-            _, sizes = _lists(batch.column(5))
-            _, lengths = _lists(batch.column(6))
             out = ([], [], [], [])
             for k in range(len(cells)):
-                own = hashes[at[k] : at[k + 1]], sizes[at[k] : at[k + 1]]
+                if side[k] == 1 and cell != cells[k]:
+                    continue
+                own = Pieces(batch.column(4)[k].as_py())
                 if side[k] == 0:
                     # rows that share a doc_id: each is a first document for the cell
                     first = [*first, own] if cell == cells[k] else [own]
                     cell = cells[k]
-                elif cell == cells[k]:
-                    place = [0, *np.cumsum(lengths[at[k] : at[k + 1]]).tolist()]
+                else:
                     for f in first:
-                        for s, e in align(*f, *own, least):
-                            for col, v in zip(out, (doc[k], source[k], place[s], place[e])):
+                        for s, e in shared_ranges(f, own, least):
+                            for col, v in zip(out, (doc[k], source[k], s, e)):
                                 col.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["row", "source", "start", "end"])
@@ -273,21 +359,20 @@ def deletions(docs: DataFrame, least: int = MIN_CHARS, fan_out: int = FAN_OUT) -
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(_doc().alias("doc"), _row().alias("row"), "text").where(F.length("text") >= least)
-    lined = stage(texts.mapInArrow(_lined(least), "doc long, row long, hashes array<long>, sizes array<int>, lengths array<int>"), "lines")
-    arrays = lined.select("doc", "hashes", "sizes")
-    seen = arrays.mapInArrow(_run_rows(least), "run long, doc long").groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    arrays = stage(texts.select("doc", "text").mapInArrow(_lined(least), "doc long, hashes array<long>, sizes array<int>"), "lines")
+    run = run_chars(least)
+    seen = arrays.mapInArrow(_run_rows(run), "run long, doc long").groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     shared = stage(seen.where("first < last").select("run", "first"), "shared-runs")
     bitmap = spark.sparkContext.broadcast(_bitmap(shared))
-    mine = arrays.mapInArrow(_run_rows(least, bitmap), "run long, doc long")
+    mine = arrays.mapInArrow(_run_rows(run, bitmap), "run long, doc long")
     pairs = stage(mine.join(shared.hint("merge"), "run").where("first < doc").select("first", "doc").distinct(), "pairs")
     # each first document meets its partners in cells of about fan_out
     cells = pairs.groupBy("first").agg(F.ceil(F.count("*") / fan_out).cast("int").alias("cells"))
     placed = pairs.join(cells.hint("merge"), "first").withColumn("cell", F.xxhash64("first", F.pmod(F.xxhash64("doc"), F.col("cells"))))
     firsts = cells.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - F.lit(1).cast("long"))).alias("k")).withColumn("cell", F.xxhash64("first", "k"))
-    left = firsts.join(lined.select(F.col("doc").alias("first"), "hashes", "sizes", "lengths").hint("merge"), "first").select("cell", F.lit(0).alias("side"), "first", F.lit(0).cast("long").alias("row"), "hashes", "sizes", "lengths")
-    right = placed.join(lined.hint("merge"), "doc").select("cell", F.lit(1).alias("side"), "first", "row", "hashes", "sizes", "lengths")
+    asked = firsts.select(F.col("first").alias("doc"), "cell", F.lit(0).alias("side"), "first").union(placed.select("doc", "cell", F.lit(1).alias("side"), "first"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = left.union(right).repartition(n, "cell").sortWithinPartitions("cell", "side")
+    both = asked.join(texts.hint("merge"), "doc").select("cell", "side", "first", "row", "text").repartition(n, "cell").sortWithinPartitions("cell", "side")
     return both.mapInArrow(_aligned(least), "row long, source long, start int, end int")
 
 

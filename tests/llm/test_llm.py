@@ -194,6 +194,29 @@ def test_line_dedup_passages(spark):
     assert got[201].text == "between w7\n" and got[202].text is None and got[203].text == "short\nshort\n"
 
 
+@pytest.mark.parametrize("kind", ["latin", "cyrillic", "cjk"])
+def test_line_dedup_inside_running_lines(spark, kind):
+    """Common passages within lines that have no cut of their own: 50 words from J-Z without sentence marks, other scripts, one long line."""
+    rng = np.random.default_rng(11)
+    first, low, high = {"latin": (106, 97, 123), "cyrillic": (0x430, 0x430, 0x450), "cjk": (0x4E00, 0x4E00, 0x5E00)}[kind]
+
+    def words(n):
+        if kind == "cjk":
+            return "".join(map(chr, rng.integers(low, high, 6 * n)))
+        return " ".join(chr(int(rng.integers(first, high))) + "".join(map(chr, rng.integers(low, high, int(rng.integers(3, 7))))) for _ in range(n))
+
+    gap, rows, want = "" if kind == "cjk" else " ", [], {}
+    for i in range(60):
+        passage, parts = words(50), [words(int(rng.integers(20, 90))) for _ in range(4)]
+        rows += [(i, gap.join((parts[0], passage, parts[1]))), (1000 + i, gap.join((parts[2], passage, parts[3])))]
+        want[1000 + i] = (parts[2], parts[3])
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, (before, after) in want.items():
+        assert got[d].sources == [d - 1000] and got[d - 1000].text == dict(rows)[d - 1000]
+        left = got[d].text
+        assert left.startswith(before) and left.endswith(after) and len(left) <= len(before) + len(after) + 2 * len(gap)
+
+
 def test_line_dedup_odd(spark, odd, none):
     got = line_dedup.dedup_lines(odd).collect()
     assert len(got) == len(ODD) and got[0].asDict().keys() == {*odd.columns, "sources", "chars_deleted"}
