@@ -2,7 +2,8 @@
 
 Two character models of words, one learnt from toxic and one from ordinary
 documents, give each word a log-likelihood under either. A character is
-predicted from the word so far (up to ``DEPTH`` characters):
+predicted from the word so far, and from the ninth character on from the
+``DEPTH`` - 1 before it, so ``DEPTH`` bounds the context and every character counts:
 
     P_c(x | p) = max(n_c(px) - D, 0) / n_c(p) + sum_y min(n_c(py), D) / n_c(p) * P(x | p)
 
@@ -53,6 +54,8 @@ CALIBRATION_ROWS = 20_000
 LABELS_BROADCAST = 2_000_000
 _PUNCT = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’¿¡…–—"
 _MEMO_WORDS = 1_000_000
+#: Steps beyond a word's DEPTH-th that are worked on at once.
+_STEPS = 1 << 20
 FEATURES = ("mean", "strong", "peak", "sum", "kinds", "kinds_sum")
 #: A word stands out by more than STRONG and counts for CAP at most; chosen on the folds that may be learnt from.
 STRONG, CAP = 1.2, 3.0
@@ -68,18 +71,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SEED, _SLIDING, _STEP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xA0761D6478BD642F, 0xD1342543DE82EF95))
+
+
 def steps(words: list[str]):
-    """For each depth: (which words take a step, parent hash, child hash, last two characters and the next)."""
-    chars = np.array(words, f"U{DEPTH}").view(np.uint32).reshape(len(words), DEPTH) if words else np.zeros((0, DEPTH), np.uint32)
-    h = np.full(len(words), 0x9E3779B97F4A7C15, np.uint64)
+    """In several parts: (word of each step, context hash, hash with the next character, last two characters and the next).
+
+    A word's end is a step too. The first part has each word's first step; a word
+    may have many steps in the last one.
+    """
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    start = np.cumsum(size) - size
+    chars = np.frombuffer("".join(w + "\0" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.full(len(words), _SEED, np.uint64)
     alive = np.arange(len(words))
     a = b = np.zeros(len(words), np.uint64)
     for k in range(DEPTH):
-        c = chars[alive, k].astype(np.uint64)
-        child = _mix(h + (c + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
+        c = chars[start[alive] + k]
+        child = _mix(h + (c + np.uint64(1)) * _STEP)
         yield alive, h, child, a, b, c
-        go = c != 0
+        go = size[alive] > k + 1
         alive, h, a, b = alive[go], child[go], b[go], c[go]
+    word = np.repeat(np.arange(len(words)), size)
+    at = np.flatnonzero(np.arange(len(chars)) - start[word] >= DEPTH)
+    for lo in range(0, len(at), _STEPS):
+        part = at[lo : lo + _STEPS]
+        h = np.full(len(part), _SLIDING, np.uint64)
+        for back in range(DEPTH - 1, 0, -1):
+            h = _mix(h + (chars[part - back] + np.uint64(1)) * _STEP)
+        yield word[part], h, _mix(h + (chars[part] + np.uint64(1)) * _STEP), chars[part - 2], chars[part - 1], chars[part]
 
 
 def _tri(a, b, c):
@@ -129,7 +149,7 @@ def _slots(ratio: float):
         for batch in batches:
             h, parent, tri, t, o = (c.to_numpy() for c in batch.columns)
             h, parent, o = _slot(h.view(np.uint64), SLOTS), _slot(parent.view(np.uint64), SLOTS), o * ratio
-            yield _sums([(0, h, t, o), (1, parent, np.minimum(t, DISCOUNT), np.minimum(o, DISCOUNT)), (2, parent, np.minimum(t + o, DISCOUNT), 0 * o)])
+            yield _sums([(0, h, t, o), (6, parent, t, o), (1, parent, np.minimum(t, DISCOUNT), np.minimum(o, DISCOUNT)), (2, parent, np.minimum(t + o, DISCOUNT), 0 * o)])
 
     return run
 
@@ -154,7 +174,7 @@ def _sums(parts):
 class Model:
     """Count tables of fixed size, and what they say about words."""
 
-    def __init__(self, rows: pa.Table, total: float):
+    def __init__(self, rows: pa.Table):
         self.name = uuid.uuid4().hex
         kind, slot, x, y = (rows.column(c).to_numpy() for c in ("kind", "slot", "x", "y"))
 
@@ -164,16 +184,16 @@ class Model:
             return out
 
         self.n = [filled(0, x, SLOTS), filled(0, y, SLOTS)]
+        self.all = [filled(6, x, SLOTS), filled(6, y, SLOTS)]
         self.mass = [filled(1, x, SLOTS), filled(1, y, SLOTS)]
         self.all_mass = filled(2, x, SLOTS)
         self.tri, self.ctx, self.ctx_types, self.uni = filled(3, x, LOW_SLOTS), filled(4, x, LOW_SLOTS), filled(4, y, LOW_SLOTS), filled(5, x, LOW_SLOTS)
         self.uni_total = max(1.0, float(self.uni.sum()))
-        self.total = total
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """log P_toxic - log P_ordinary of each word."""
         out = np.zeros(len(words))
-        for k, (alive, parent, child, a, b, c) in enumerate(steps(words)):
+        for alive, parent, child, a, b, c in steps(words):
             ps, cs = _slot(parent, SLOTS), _slot(child, SLOTS)
             ctx = _slot(_tri(a, b, c) >> np.uint64(21), LOW_SLOTS)
             low = np.maximum(self.uni[_slot(c, LOW_SLOTS)], 0.5) / self.uni_total
@@ -185,10 +205,10 @@ class Model:
                 some = np.maximum(total, 1e-6)
                 return np.where(total > 0, np.maximum(count - DISCOUNT, 0) / some + np.minimum(mass / some, 1) * low, low)
 
-            totals = [self.n[i][ps] if k else np.full(len(alive), self.total, np.float32) for i in (0, 1)]
+            totals = [self.all[i][ps] for i in (0, 1)]
             low = backed(self.n[0][cs] + self.n[1][cs], totals[0] + totals[1], self.all_mass[ps], low)
             p = [backed(self.n[i][cs], totals[i], self.mass[i][ps], low) for i in (0, 1)]
-            out[alive] += np.log(np.maximum(p[0], 1e-12)) - np.log(np.maximum(p[1], 1e-12))
+            out += np.bincount(alive, np.log(np.maximum(p[0], 1e-12)) - np.log(np.maximum(p[1], 1e-12)), len(words))
         return np.clip(out, -3, 8)
 
 
@@ -259,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Colum
     sums = "kind long, slot long, x double, y double"
     tables = known.mapInArrow(_slots(totals[0] / max(totals[1], 1)), sums).union(known.groupBy("tri").count().mapInArrow(_low_slots, sums))
     rows = tables.groupBy("kind", "slot").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()
-    model = spark.sparkContext.broadcast(Model(rows, totals[0]))
+    model = spark.sparkContext.broadcast(Model(rows))
     sample = labelled(calibrated).withColumn("at", F.xxhash64("text")).orderBy("at").limit(CALIBRATION_ROWS).select("text", "toxic")
     found = sample.mapInArrow(_evidence_rows(model), "toxic int, " + ", ".join(f"{c} double" for c in FEATURES)).toArrow()
     x = np.stack([found.column(c).to_numpy() for c in FEATURES], 1)

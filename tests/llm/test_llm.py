@@ -156,6 +156,22 @@ def test_toxicity_held_out(spark):
     assert auc > 0.9 and recall > 0.7 and false < 0.05
 
 
+def test_toxicity_reads_every_character(spark):
+    """Words that differ behind their eighth character only, and texts without blanks."""
+    from quadloom.llm import toxicity
+
+    rng = np.random.default_rng(2)
+    stem = lambda: "".join(map(chr, rng.integers(97, 123, 9))) + "fuhrwerk"
+    rows = [(i, f"{stem()}vile" if i % 4 == 0 else f"{stem()}kind") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, _ = toxicity.train(docs, labels, counted=F.lit(True), calibrated=F.lit(True))
+    bad, good = model.value.evidence(["qwertyuiopfuhrwerkvile", "qwertyuiopfuhrwerkkind"])
+    assert bad > 0.5 and good < -0.5
+    long = "ab" * 50_000 + "vile"
+    assert model.value.evidence([long, "a"]).shape == (2,)
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (4, None), (6, 0), (None, 1), (8, 0)], "doc_id long, toxic int")
     for lab in (labels, labels.where("false")):
