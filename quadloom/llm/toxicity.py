@@ -24,8 +24,9 @@ most ``CALIBRATION_ROWS`` labelled documents (those of the least hash) of a fold
 that the counts do not come from.
 
 All counts come from every labelled document of the training folds. They are
-kept in tables of ``SLOTS`` hashed entries, so what is sent to the executors has
-a fixed size.
+kept under their own 64-bit keys, in sorted tables that grow with what is
+learnt from, so a context that was not seen is told from all others at every
+size. The tables are broadcast.
 
 Defined cases: a null or empty text has no evidence and gets the score of none;
 of several labels of one doc_id the highest holds; null labels do not count;
@@ -48,7 +49,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import ship, stage
 
-DEPTH, SLOTS, LOW_SLOTS, DISCOUNT, LOW_DISCOUNT, WINDOW = 8, 1 << 21, 1 << 18, 1.0, 0.75, 64
+DEPTH, DISCOUNT, LOW_DISCOUNT, WINDOW = 8, 1.0, 0.75, 64
 CALIBRATION_ROWS = 20_000
 #: Labels are broadcast up to this many rows, else joined by a shuffle.
 LABELS_BROADCAST = 2_000_000
@@ -106,10 +107,6 @@ def _tri(a, b, c):
     return (a << np.uint64(42)) | (b << np.uint64(21)) | c
 
 
-def _slot(x, n: int):
-    return (_mix(x) % np.uint64(n)).astype(np.int64)
-
-
 def _count_words(batches):
     """Rows (text, toxic): (word, t, o) counts of a task's texts."""
     count = (Counter(), Counter())
@@ -141,73 +138,85 @@ def _prefixes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], ["h", "parent", "tri", "t", "o"])
 
 
-def _slots(ratio: float):
-    """Rows (h, parent, tri, t, o), one for each h: (kind, slot, x, y) sums for the model's tables.
+def _tables(ratio: float):
+    """Rows (h, parent, tri, t, o), one for each h: (kind, key, x, y) sums for the model's tables.
     ``ratio`` brings ordinary counts to the toxic total."""
 
     def run(batches):
         for batch in batches:
             h, parent, tri, t, o = (c.to_numpy() for c in batch.columns)
-            h, parent, o = _slot(h.view(np.uint64), SLOTS), _slot(parent.view(np.uint64), SLOTS), o * ratio
+            o = o * ratio
             yield _sums([(0, h, t, o), (6, parent, t, o), (1, parent, np.minimum(t, DISCOUNT), np.minimum(o, DISCOUNT)), (2, parent, np.minimum(t + o, DISCOUNT), 0 * o)])
 
     return run
 
 
-def _low_slots(batches):
+def _low_tables(batches):
     """Rows (tri, n): continuation counts for the shared lower orders."""
     for batch in batches:
         tri, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
         one = np.ones(len(n), np.int64)
         zero = np.zeros(len(n), np.int64)
-        yield _sums([(3, _slot(tri, LOW_SLOTS), n, zero), (4, _slot(tri >> np.uint64(21), LOW_SLOTS), n, one), (5, _slot(tri & np.uint64(0x1FFFFF), LOW_SLOTS), one, zero)])
+        yield _sums([(k, key.view(np.int64), *xy) for k, key, xy in ((3, tri, (n, zero)), (4, tri >> np.uint64(21), (n, one)), (5, tri & np.uint64(0x1FFFFF), (one, zero)))])
 
 
 def _sums(parts):
     rows = []
-    for kind, slot, x, y in parts:
-        key, back = np.unique(slot, return_inverse=True)
+    for kind, key, x, y in parts:
+        key, back = np.unique(key, return_inverse=True)
         rows.append((np.full(len(key), kind), key, np.bincount(back, x, len(key)), np.bincount(back, y, len(key))))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["kind", "slot", "x", "y"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["kind", "key", "x", "y"])
+
+
+class Table:
+    """Columns of numbers under 64-bit keys; a key that is not there reads as zeros."""
+
+    def __init__(self, keys: np.ndarray, columns: list[np.ndarray]):
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.columns = [np.append(c[order], 0).astype(np.float32) for c in columns]
+
+    def at(self, keys: np.ndarray) -> list[np.ndarray]:
+        keys = keys.view(np.int64)
+        place = np.searchsorted(self.keys, keys)
+        place[place == len(self.keys)] = -1
+        if len(self.keys):
+            place[self.keys[place] != keys] = -1
+        return [c[place] for c in self.columns]
 
 
 class Model:
-    """Count tables of fixed size, and what they say about words."""
+    """Count tables, and what they say about words."""
 
     def __init__(self, rows: pa.Table):
         self.name = uuid.uuid4().hex
-        kind, slot, x, y = (rows.column(c).to_numpy() for c in ("kind", "slot", "x", "y"))
+        kind = rows.column("kind").to_numpy()
 
-        def filled(k, v, n):
-            out = np.zeros(n, np.float32)
-            out[slot[kind == k]] = v[kind == k]
-            return out
+        def table(k, *names):
+            own = np.flatnonzero(kind == k)
+            return Table(*(rows.column("key").to_numpy()[own], [rows.column(n).to_numpy()[own] for n in names]))
 
-        self.n = [filled(0, x, SLOTS), filled(0, y, SLOTS)]
-        self.all = [filled(6, x, SLOTS), filled(6, y, SLOTS)]
-        self.mass = [filled(1, x, SLOTS), filled(1, y, SLOTS)]
-        self.all_mass = filled(2, x, SLOTS)
-        self.tri, self.ctx, self.ctx_types, self.uni = filled(3, x, LOW_SLOTS), filled(4, x, LOW_SLOTS), filled(4, y, LOW_SLOTS), filled(5, x, LOW_SLOTS)
-        self.uni_total = max(1.0, float(self.uni.sum()))
+        self.n, self.all, self.mass, self.all_mass = table(0, "x", "y"), table(6, "x", "y"), table(1, "x", "y"), table(2, "x")
+        self.tri, self.ctx, self.uni = table(3, "x"), table(4, "x", "y"), table(5, "x")
+        self.uni_total = max(1.0, float(self.uni.columns[0].sum()))
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """log P_toxic - log P_ordinary of each word."""
         out = np.zeros(len(words))
         for alive, parent, child, a, b, c in steps(words):
-            ps, cs = _slot(parent, SLOTS), _slot(child, SLOTS)
-            ctx = _slot(_tri(a, b, c) >> np.uint64(21), LOW_SLOTS)
-            low = np.maximum(self.uni[_slot(c, LOW_SLOTS)], 0.5) / self.uni_total
-            n = self.ctx[ctx]
+            tri = _tri(a, b, c)
+            low = np.maximum(self.uni.at(c)[0], 0.5) / self.uni_total
+            n, types = self.ctx.at(tri >> np.uint64(21))
             some = np.maximum(n, 1)
-            low = np.where(n > 0, np.maximum(self.tri[_slot(_tri(a, b, c), LOW_SLOTS)] - LOW_DISCOUNT, 0) / some + LOW_DISCOUNT * self.ctx_types[ctx] / some * low, low)
+            low = np.where(n > 0, np.maximum(self.tri.at(tri)[0] - LOW_DISCOUNT, 0) / some + LOW_DISCOUNT * types / some * low, low)
 
             def backed(count, total, mass, low):
                 some = np.maximum(total, 1e-6)
                 return np.where(total > 0, np.maximum(count - DISCOUNT, 0) / some + np.minimum(mass / some, 1) * low, low)
 
-            totals = [self.all[i][ps] for i in (0, 1)]
-            low = backed(self.n[0][cs] + self.n[1][cs], totals[0] + totals[1], self.all_mass[ps], low)
-            p = [backed(self.n[i][cs], totals[i], self.mass[i][ps], low) for i in (0, 1)]
+            counts, totals, masses = self.n.at(child), self.all.at(parent), self.mass.at(parent)
+            low = backed(counts[0] + counts[1], totals[0] + totals[1], self.all_mass.at(parent)[0], low)
+            p = [backed(counts[i], totals[i], masses[i], low) for i in (0, 1)]
             out += np.bincount(alive, np.log(np.maximum(p[0], 1e-12)) - np.log(np.maximum(p[1], 1e-12)), len(words))
         return np.clip(out, -3, 8)
 
@@ -276,9 +285,9 @@ def train(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Colum
     long5 = "h long, parent long, tri long, t long, o long"
     known = words.mapInArrow(_prefixes, long5).groupBy("h").agg(F.first("parent").alias("parent"), F.first("tri").alias("tri"), F.sum("t").alias("t"), F.sum("o").alias("o"))
     known = stage(known, "prefixes")
-    sums = "kind long, slot long, x double, y double"
-    tables = known.mapInArrow(_slots(totals[0] / max(totals[1], 1)), sums).union(known.groupBy("tri").count().mapInArrow(_low_slots, sums))
-    rows = tables.groupBy("kind", "slot").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()
+    sums = "kind long, key long, x double, y double"
+    tables = known.mapInArrow(_tables(totals[0] / max(totals[1], 1)), sums).union(known.groupBy("tri").count().mapInArrow(_low_tables, sums))
+    rows = tables.groupBy("kind", "key").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()
     model = spark.sparkContext.broadcast(Model(rows))
     sample = labelled(calibrated).withColumn("at", F.xxhash64("text")).orderBy("at").limit(CALIBRATION_ROWS).select("text", "toxic")
     found = sample.mapInArrow(_evidence_rows(model), "toxic int, " + ", ".join(f"{c} double" for c in FEATURES)).toArrow()

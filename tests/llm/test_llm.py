@@ -172,6 +172,25 @@ def test_toxicity_reads_every_character(spark):
     assert model.value.evidence([long, "a"]).shape == (2,)
 
 
+def test_toxicity_tells_contexts_apart_at_every_size():
+    """Counts of a million contexts stay their own; those never seen have none."""
+    import pyarrow as pa
+
+    from quadloom.llm import toxicity
+
+    words = [f"{i:06x}" for i in np.random.default_rng(4).permutation(1 << 24)[:300_000].tolist()]
+    batch = pa.RecordBatch.from_pydict({"word": words[:250_000], "t": [1] * 250_000, "o": [2] * 250_000})
+    known = next(iter(toxicity._prefixes([batch])))
+    known = pa.Table.from_batches([known]).group_by("h").aggregate([("parent", "min"), ("tri", "min"), ("t", "sum"), ("o", "sum")])
+    known = pa.RecordBatch.from_arrays([known.column(c).combine_chunks() for c in ("h", "parent_min", "tri_min", "t_sum", "o_sum")], ["h", "parent", "tri", "t", "o"])
+    rows = pa.Table.from_batches([next(iter(toxicity._tables(1.0)([known])))])
+    n = toxicity.Model(rows).n
+    for own, want in ((words[:250_000], 1), (words[250_000:], 0)):
+        *_, (_, _, child, _, _, _) = (x for x in toxicity.steps(own) if len(x[0]) == len(own))
+        t, o = n.at(child)
+        assert (t == want).all() and (o == 2 * want).all()
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (4, None), (6, 0), (None, 1), (8, 0)], "doc_id long, toxic int")
     for lab in (labels, labels.where("false")):
