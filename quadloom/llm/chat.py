@@ -146,6 +146,27 @@ def turns_as_events(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.col("turn").alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+def turns_as_streamed(conversations: DataFrame) -> DataFrame:
+    """A log in which plain turn rows come about as in a live chat: half of them are streamed, with a wrong draft that is
+    regenerated in two deltas, the others are sent wrong and edited. Folding it gives back the turns.
+
+    Each row is a message of its own, so rows that share a turn stay apart; a null turn comes before all others.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = (F.length(text) / 2).cast("int")
+    first, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    wrong = F.lit("I think that this draft is wrong")
+
+    def event(k, kind, what):
+        return F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), what.alias("text"))
+
+    streamed = F.array(event(0, "message", wrong), event(1, "delta", wrong), event(2, "regenerate", first), event(3, "delta", rest))
+    edited = F.array(event(0, "message", wrong), event(1, "edit", text))
+    rows = conversations.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 58))).alias("turn"), "role", "text", F.monotonically_increasing_id().alias("message"))
+    events = F.when(F.pmod(F.col("message"), F.lit(2)) == 0, streamed).otherwise(edited)
+    return rows.select("conv_id", "message", "turn", "role", F.explode(events).alias("e")).select("conv_id", "message", (F.col("turn") * 8 + F.col("e.k")).alias("seq"), "e.kind", "role", "e.text")
+
+
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 

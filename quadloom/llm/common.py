@@ -2,12 +2,14 @@
 
 Tables that a job reads twice are written to the folder all machines share
 (``spark.checkpoint.dir``), never to a machine's own disk, so a lost executor
-costs a re-read and not a re-run.
+costs a re-read and not a re-run. What a result no longer needs is deleted.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -26,27 +28,79 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder; a temporary one only where none is configured and driver and executors share a machine (tests)."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quadloom-")
+            atexit.register(shutil.rmtree, _OWN[app].removeprefix("file://"), ignore_errors=True)
         given = _OWN[app]
     return given.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quadloom/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/quadloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    The folder stays as long as something may read it: until ``remove``, or ``clear`` at the job's end.
+    """
+    return _staged(df, fresh_dir(df.sparkSession, name))
+
+
+def _staged(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop finished shuffles
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has staged; no DataFrame of these operators can be read afterwards."""
+    remove(spark, f"{shared_dir(spark)}/quadloom/{spark.sparkContext.applicationId}")
+
+
+class Scratch:
+    """Staged tables that are deleted when the block ends; those of ``keep`` stay for the result."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(fresh_dir(self.spark, name))
+        return _staged(df, self.paths[-1])
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return stage(df, name)
+
+    def drop_all_but(self, last: int) -> None:
+        """Delete what was staged before the last tables."""
+        for path in self.paths[:-last]:
+            remove(self.spark, path)
+        self.paths = self.paths[-last:]
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+def free_name(base: str, taken: list[str]) -> str:
+    """A column name that is not among ``taken``, whatever their case."""
+    known = {c.lower() for c in taken}
+    while base.lower() in known:
+        base = f"_{base}"
+    return base
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Benchmark decontamination: BM25 over test items, searched by block-max WAND.
 
-The test items are the index and the training passages are the queries. Items
-lie in tiers by length (up to 16, 32, 64, ... words). For a tier of items of up
+The test items are the index and the training passages are the queries. An
+item's question (its first half) and its answer (the second) are entries of their
+own, for a document may hold them far apart. Entries lie in tiers by length (up to 16, 32, 64, ... words). For a tier of items of up
 to H words a passage is a window of 5H/4 words every H/4 words, so any run of H
 words lies within one passage and a passage is not much longer than what it is
 compared with. A term's impact on an item is its BM25 weight as a share of the
@@ -23,13 +24,15 @@ when of its question (its first half) and of its answer (the second) at least
 ``OVERLAP`` of the 5-word shingles occur in the document (shorter halves: the
 words in a row).
 
-The index is built on the driver from the benchmark, in parts of at most
-``PART_ITEMS`` items and ``PART_CHARS`` characters; each part is broadcast by
-itself and documents are searched part by part within one pass.
+A benchmark of more than ``PART_ITEMS`` items or ``PART_CHARS`` characters is dealt
+to parts in Spark, with its word statistics counted there. Parts are searched one
+after the other: one is read, indexed, broadcast and destroyed before the next, so
+what the driver and a broadcast hold is bounded by a part.
 
 Defined cases: null texts count as empty; an item without words is never found;
 repeated items or documents are found each; a null item_id or doc_id is kept as
-it is; further columns are ignored; an empty table on either side finds nothing.
+it is; ids are cast to long; further columns are ignored (kept, where documents are
+filtered); an empty table on either side finds nothing.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import free_name, ship, stage
 
 BLOCK, SUPER = 8, 12
 THRESHOLD, OVERLAP, SHINGLE = 0.7, 0.8, 5
@@ -127,42 +130,49 @@ class Tier:
                 impact = top[terms]
                 if impact.sum() >= need:
                     for item in self.retrieve(terms[impact > 0]):
-                                yield s, item
-
-    def verified(self, item: int, shingles: set[tuple[str, ...]], words: list[str], overlap: float) -> tuple[float, float] | None:
-        """The shares of the item's question and answer that the document has, if both suffice."""
-        own = self.words[item]
-        half = (len(own) + 1) // 2
-        shares = []
-        for part in (own[:half], own[half:]):
-            if not part:
-                continue
-            if len(part) < SHINGLE:
-                k = len(part)
-                shares.append(float(any(words[i : i + k] == part for i in range(len(words) - k + 1))))
-            else:
-                grams = {tuple(part[i : i + SHINGLE]) for i in range(len(part) - SHINGLE + 1)}
-                shares.append(len(grams & shingles) / len(grams))
-        if not shares or min(shares) < overlap:
-            return None
-        return shares[0], shares[-1]
+                        yield s, item
+
+
+def entries(words: list[str]) -> list[list[str]]:
+    """What is searched for of an item: its question and its answer by themselves, as they may stand far apart; an item too short to halve is one entry."""
+    half = (len(words) + 1) // 2
+    if half < 2 * SHINGLE:
+        return [words] if words else []
+    return [words[:half], words[half:]]
+
+
+def verified(own: list[str], shingles: set[tuple[str, ...]], words: list[str], overlap: float) -> tuple[float, float] | None:
+    """The shares of the item's question and answer that the document has, if both suffice."""
+    half = (len(own) + 1) // 2
+    shares = []
+    for part in (own[:half], own[half:]):
+        if not part:
+            continue
+        if len(part) < SHINGLE:
+            k = len(part)
+            shares.append(float(any(words[i : i + k] == part for i in range(len(words) - k + 1))))
+        else:
+            grams = {tuple(part[i : i + SHINGLE]) for i in range(len(part) - SHINGLE + 1)}
+            shares.append(len(grams & shingles) / len(grams))
+    if not shares or min(shares) < overlap:
+        return None
+    return shares[0], shares[-1]
 
 
 class Index:
-    """The tiers of one part of the items."""
+    """The tiers of one part of the items; an item's entries are its question and its answer."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], n_items: int, df: dict[str, int], mean_words: float, threshold: float):
-        words = [words_of(t) for _, t in items]
+        self.items = [(item, words_of(text)) for item, text in items]
         self.term: dict[str, int] = {}
-        for ws in words:
+        tiers: dict[int, list[tuple[int, list[str]]]] = {}
+        for i, (_, ws) in enumerate(self.items):
             for w in ws:
                 self.term.setdefault(w, len(self.term) + 1)
-        tiers: dict[int, list[int]] = {}
-        for i, ws in enumerate(words):
-            if ws:
-                tiers.setdefault(max(16, 1 << (len(ws) - 1).bit_length()), []).append(i)
-        self.ids = {most: [items[i][0] for i in at] for most, at in tiers.items()}
-        self.tiers = {most: Tier([words[i] for i in at], most, self.term, n_items, df, mean_words, threshold) for most, at in tiers.items()}
+            for part in entries(ws):
+                tiers.setdefault(max(16, 1 << (len(part) - 1).bit_length()), []).append((i, part))
+        self.of = {most: [i for i, _ in at] for most, at in tiers.items()}
+        self.tiers = {most: Tier([ws for _, ws in at], most, self.term, n_items, df, mean_words, threshold) for most, at in tiers.items()}
 
     def search(self, docs: list[list[str]], overlap: float):
         """Yields (document, item_id, question, answer) for texts given as words."""
@@ -170,19 +180,21 @@ class Index:
         size = np.fromiter(map(len, docs), np.int64, len(docs))
         ends = np.cumsum(size)
         codes = np.fromiter((get(w, 0) for ws in docs for w in ws), np.int64, int(size.sum()))
+        # passages run on over the ends of documents; verification is by document
+        pairs = set()
         for most, tier in self.tiers.items():
-            # passages run on over the ends of documents; verification is by document
-            pairs = set()
-            for s, item in tier.candidates(codes):
+            of = self.of[most]
+            for s, entry in tier.candidates(codes):
                 first, last = np.searchsorted(ends, [s, min(s + tier.passage, len(codes)) - 1], "right").tolist()
-                pairs.update((d, item) for d in range(first, last + 1))
-            of, shingles = -1, set()
-            for d, item in sorted(pairs):
-                if d != of:
-                    of, ws = d, docs[d]
-                    shingles = {tuple(ws[i : i + SHINGLE]) for i in range(len(ws) - SHINGLE + 1)}
-                if found := tier.verified(item, shingles, docs[d], overlap):
-                    yield d, self.ids[most][item], *found
+                pairs.update((d, of[entry]) for d in range(first, last + 1))
+        at, shingles = -1, set()
+        for d, i in sorted(pairs):
+            if d != at:
+                at, ws = d, docs[d]
+                shingles = {tuple(ws[k : k + SHINGLE]) for k in range(len(ws) - SHINGLE + 1)}
+            item, own = self.items[i]
+            if found := verified(own, shingles, docs[d], overlap):
+                yield d, item, *found
 
 
 def runs(texts: pa.Array):
@@ -199,58 +211,107 @@ def runs(texts: pa.Array):
         yield at, out
 
 
-def build(benchmark: DataFrame, threshold: float = THRESHOLD) -> list[Index]:
-    """The index in parts of bounded size. The benchmark is a test set; statistics come from all of it."""
-    rows = [(r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator()]
-    df: Counter = Counter()
-    total = 0
-    for _, t in rows:
-        ws = words_of(t)
-        df.update(set(ws))
-        total += len(ws)
-    parts, part, chars = [], [], 0
-    for r in rows:
-        part.append(r)
-        chars += len(r[1] or "")
-        if len(part) >= PART_ITEMS or chars >= PART_CHARS:
-            parts.append(part)
-            part, chars = [], 0
-    parts += [part] if part else []
-    return [Index(p, len(rows), df, max(1.0, total / max(1, len(rows))), threshold) for p in parts]
-
-
-def _hits(indexes, overlap: float):
+class Parts:
+    """The benchmark dealt to parts of bounded size, and its statistics, all kept in Spark.
+
+    ``index(k)`` reads one part and builds its index; a part has about ``PART_ITEMS``
+    items and ``PART_CHARS`` characters, so neither the driver nor a broadcast ever
+    holds more, however large the benchmark is.
+    """
+
+    def __init__(self, benchmark: DataFrame, threshold: float = THRESHOLD):
+        self.threshold = threshold
+        items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+        self.n, chars, longest = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
+        if longest > PART_CHARS:
+            raise ValueError(f"an item of {longest} characters is longer than a part may be")
+        # items are dealt by hash, so parts are filled to half on average
+        self.count = 1 if self.n <= PART_ITEMS and chars <= PART_CHARS else -(-2 * max(self.n * PART_CHARS, chars * PART_ITEMS) // (PART_ITEMS * PART_CHARS))
+        if self.count == 1:
+            self.items, self.frequency = items.withColumn("part", F.lit(0)), None
+            return
+        ship(benchmark.sparkSession)
+        part = F.pmod(F.xxhash64("item_id", "text"), F.lit(self.count)).cast("int")
+        self.items = stage(items.withColumn("part", part), "items")
+        words = self.items.select("part", "text").mapInArrow(_words_of_items, "part int, word string, n long")
+        words = stage(words.groupBy("part", "word").agg(F.count("*").alias("df"), F.sum("n").alias("n")), "item-words")
+        self.total = words.agg(F.sum("n")).first()[0] or 0
+        of_all = words.groupBy("word").agg(F.sum("df").alias("df"))
+        self.frequency = stage(words.select("part", "word").join(of_all, "word"), "item-frequency")
+
+    def index(self, k: int) -> Index:
+        rows = [(r[0], r[1]) for r in self.items.where(F.col("part") == k).select("item_id", "text").collect()]
+        if sum(len(t or "") for _, t in rows) > 4 * PART_CHARS or len(rows) > 4 * PART_ITEMS:
+            raise ValueError("a part of the benchmark is over its bound: many equal items")
+        if self.frequency is None:
+            df: Counter = Counter()
+            total = 0
+            for _, t in rows:
+                ws = words_of(t)
+                df.update(set(ws))
+                total += len(ws)
+        else:
+            df = {r.word: r.df for r in self.frequency.where(F.col("part") == k).select("word", "df").collect()}
+            total = self.total
+        return Index(rows, self.n, df, max(1.0, total / max(1, 2 * self.n)), self.threshold)
+
+
+def _words_of_items(batches):
+    """Rows (part, word, n) of (part, text): each item's words with their number, each once."""
+    for batch in batches:
+        out = ([], [], [])
+        for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for word, n in Counter(words_of(text)).items():
+                for col, x in zip(out, (part, word, n)):
+                    col.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], ["part", "word", "n"])
+
+
+def _hits(index, overlap: float):
+    """Rows (key, text): (key, item_id, question, answer)."""
+
     def run(batches):
         for batch in batches:
             out = []
-            docs = batch.column(0).to_pylist()
+            keys = batch.column(0).to_pylist()
             for at, words in runs(batch.column(1)):
-                for index in indexes:
-                    out += [(docs[at + d], *rest) for d, *rest in index.value.search(words, overlap)]
+                out += [(keys[at + d], *rest) for d, *rest in index.value.search(words, overlap)]
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "item_id", "question", "answer"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "item_id", "question", "answer"])
 
     return run
 
 
+def _search(rows: DataFrame, parts: Parts, overlap: float) -> DataFrame:
+    """(key, item_id, question, answer) of ``rows`` (key, text): one part after the other, each with its own broadcast."""
+    spark = rows.sparkSession
+    schema = "key long, item_id long, question double, answer double"
+    if parts.count == 1:
+        return rows.mapInArrow(_hits(spark.sparkContext.broadcast(parts.index(0)), overlap), schema)
+    found = None
+    for k in range(parts.count):
+        index = spark.sparkContext.broadcast(parts.index(k))
+        hits = stage(rows.mapInArrow(_hits(index, overlap), schema), f"hits-{k}")
+        index.destroy()
+        found = hits if found is None else found.union(hits)
+    return found
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, question, answer): the test items found in each document, with the shares of their halves found."""
-    spark = docs.sparkSession
-    ship(spark)
-    indexes = [spark.sparkContext.broadcast(x) for x in build(benchmark, threshold)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_hits(indexes, overlap), "doc_id long, item_id long, question double, answer double")
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text")
+    return _search(rows, Parts(benchmark, threshold), overlap).withColumnRenamed("key", "doc_id")
 
 
-def _clean(indexes, overlap: float):
+def _clean(index, overlap: float):
     def run(batches):
         for batch in batches:
             keep = np.ones(len(batch), bool)
             for at, words in runs(batch.column("text")):
-                for index in indexes:
-                    for d, *_ in index.value.search(words, overlap):
-                        keep[at + d] = False
+                for d, *_ in index.value.search(words, overlap):
+                    keep[at + d] = False
             yield batch.filter(pa.array(keep))
 
     return run
@@ -258,6 +319,12 @@ def _clean(indexes, overlap: float):
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs`` in which no test item is found."""
-    ship(docs.sparkSession)
-    indexes = [docs.sparkSession.sparkContext.broadcast(x) for x in build(benchmark, threshold)]
-    return docs.mapInArrow(_clean(indexes, overlap), docs.schema)
+    spark = docs.sparkSession
+    ship(spark)
+    parts = Parts(benchmark, threshold)
+    if parts.count == 1:
+        return docs.mapInArrow(_clean(spark.sparkContext.broadcast(parts.index(0)), overlap), docs.schema)
+    key = free_name("key", docs.columns)
+    rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    hits = _search(rows.select(F.col(key).alias("key"), "text"), parts, overlap).select(F.col("key").alias(key)).distinct()
+    return rows.join(hits, key, "left_anti").select(docs.columns)

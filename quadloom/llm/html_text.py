@@ -20,7 +20,7 @@ The keys of a host's templates are broadcast while there are at most
 
 Defined cases: a null or empty page has an empty text; a null or odd URL is a
 host of its own name; repeated rows are extracted each; unclosed elements end
-with their parents; further columns are ignored; an empty table gives no rows.
+with their parents; page_ids are cast to long; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -54,27 +54,38 @@ _ENDS_P = _BLOCK - {"body", "html", "caption", "dd", "dt", "li", "tbody", "td",
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _NOT_TEXT = frozenset("aside audio button canvas datalist dialog footer form head iframe input link menu meta nav noscript object option script select style svg template textarea title video".split())
 _NOT_TEXT_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo recommended related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+# inside an article these say nothing unless the whole name is made of such words
+_UNSURE = frozenset("ad ads banner comment comments menu notice notices recommended related respond share sharing social toolbar widget".split())
+_PARTS = frozenset("area bar block box btn button buttons container content form group icon icons inner item items left link links list nav outer panel post posts right section top wrap wrapper".split())
 _HEADER_WORDS = frozenset("header masthead banner".split())
 
+_SURE = _NOT_TEXT_WORDS - _UNSURE
+
 
 class Node:
-    __slots__ = ("tag", "words", "hidden", "children", "hash", "holds")
+    __slots__ = ("tag", "words", "unsure", "hidden", "children", "hash", "holds")
 
     def __init__(self, tag: str, attrs: str):
         self.tag, self.children, self.hash, self.holds = tag, [], 0, False
-        self.words, self.hidden = (), False
+        self.words, self.unsure, self.hidden = (), False, False
         if attrs:
             for name, value in _ATTR.findall(attrs):
                 name, value = name.lower(), value.strip("\"'").lower()
                 if name in ("class", "id", "role"):
-                    self.words += tuple(_WORD.findall(value))
+                    for token in value.split():
+                        own = _WORD.findall(token)
+                        self.words += tuple(own)
+                        if not _UNSURE.isdisjoint(own) and not (_NOT_TEXT_WORDS | _PARTS).issuperset(own):
+                            self.unsure = True
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                     self.hidden = True
 
     def dropped(self, inside: bool) -> bool:
         if self.holds:  # the article is in it
             return False
-        if self.hidden or self.tag in _NOT_TEXT or not _NOT_TEXT_WORDS.isdisjoint(self.words):
+        if self.hidden or self.tag in _NOT_TEXT:
+            return True
+        if not _NOT_TEXT_WORDS.isdisjoint(self.words) and not (inside and self.unsure and _SURE.isdisjoint(self.words)):
             return True
         return not inside and (self.tag == "header" or not _HEADER_WORDS.isdisjoint(self.words))
 
@@ -160,7 +171,7 @@ def regions(root: Node) -> list[Node]:
                 continue
         inner = (node, above)
         todo += [(c, inner) for c in reversed(node.children) if isinstance(c, Node)]
-    kept = found["article"] or found["main"][:1]
+    kept = found["article"] or [x for x in found["main"] if not _within(x[1], found["main"])]
     for _, above in kept:
         while above and not above[0].holds:
             above[0].holds = True
@@ -171,6 +182,16 @@ def regions(root: Node) -> list[Node]:
     return [n for n, _ in kept] or [root]
 
 
+def _within(above, nodes) -> bool:
+    """Whether one of the nodes is among a node's ancestors."""
+    own = {id(n) for n, _ in nodes}
+    while above:
+        if id(above[0]) in own:
+            return True
+        above = above[1]
+    return False
+
+
 def _key(host: int, node: Node) -> int:
     return (node.hash * 0x9E3779B97F4A7C15 + host) & 0xFFFFFFFFFFFFFFFF
 
@@ -319,8 +340,8 @@ def main_text(pages: DataFrame, broadcast_templates: int = BROADCAST_TEMPLATES)
         keys = np.sort(found.toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64))
         return pages.mapInArrow(_extract(spark.sparkContext.broadcast(keys)), out)
     # a page is known by its id, address and content; a template that a host has everywhere is dealt to SALTS tasks
-    this = F.xxhash64("page_id", "url", "html")
-    rows = pages.withColumn("page", this).select("page", "url", "html").mapInArrow(_page_keys, "page long, key long").withColumn("salt", F.pmod("page", F.lit(SALTS)))
+    this = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.xxhash64("url", "html"), F.xxhash64("html", "url", F.lit(1)))
+    rows = pages.withColumn("page", this).select("page", "url", "html").mapInArrow(_page_keys, "page string, key long").withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)))
     salted = found.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     mine = rows.join(salted, ["key", "salt"]).groupBy("page").agg(F.collect_set("key").alias("keys"))
     joined = pages.withColumn("page", this).join(mine, "page", "left").select("page_id", "url", "html", "keys")
@@ -337,4 +358,4 @@ def _page_keys(batches):
                 own = {_key(host, n) for n, _ in subtrees(parse(html))}
                 pages.extend([page] * len(own))
                 keys.extend(own)
-        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], ["page", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.string()), pa.array(np.array(keys, np.uint64).view(np.int64))], ["page", "key"])

@@ -1,35 +1,49 @@
 """Line dedup by pairwise alignment: what a document shares with an earlier one goes from the later.
 
-Lines end at newlines; a long line is also cut at anchors that its own
-characters name (winnowing: of each ``WINDOW`` places the one whose next
-``GRAM`` characters hash least), so two texts that share a passage share its
-cuts, in any language and without sentence marks. Pieces are compared
-lower-cased and trimmed. A document is later than those of smaller doc_id.
-
-* From each piece a run begins that is just long enough to hold 5/9 of
-  ``MIN_CHARS`` characters. Within a line the first anchor of a common passage is
-  less than ``WINDOW + GRAM`` characters from its start and the last as near to
-  its end, so any common passage of 100 + 2 * 64 + 8 = 236 characters holds one
-  run whole, and most of ``MIN_CHARS`` do.
-* Every run is looked up in the first document that has it. That gives pairs of
-  documents, at most one for each run of the later one: a group of copies gives
-  a star round its first document, never all pairs.
-* Each pair is aligned by patience diff: pieces that are unique on both sides and
+Texts are compared lower-cased, in two kinds of units, each trimmed:
+
+* whole lines, from newline to newline;
+* pieces of lines: a line is cut at anchors that its own characters name
+  (winnowing: of each ``WINDOW`` places the one whose next ``GRAM`` characters
+  hash least), so two texts that share a passage share its cuts, in any language
+  and without sentence marks.
+
+A document is later than those of smaller doc_id. What goes from the later one:
+
+* aligned blocks of whole lines with ``LINE_CHARS`` characters or more; with
+  ``least_line=1`` every line of the later document that an earlier one has;
+* aligned passages within lines of ``MIN_CHARS`` characters or more, wherever
+  they begin.
+
+How they are found:
+
+* From each unit a run begins that is just long enough: ``least_line`` characters
+  of lines, 5/9 of ``least`` of pieces. Within a line the first anchor of a common
+  passage is less than ``WINDOW + GRAM`` characters from its start and the last as
+  near to its end, so any common passage of 100 + 2 * 64 + 8 = 236 characters holds
+  one run whole, and most of ``MIN_CHARS`` do.
+* Every run that at least two documents have, whatever its frequency, is looked
+  up in the first document that has it. Rarity is used by direction, not by a
+  limit: the later document is paired with one first document for each run, so a
+  line that millions have makes a star round its first document and never all
+  pairs, and none has to be left out for being frequent.
+* Each pair is aligned by patience diff: units that are unique on both sides and
   in the same order are anchors (found as a longest increasing subsequence),
   grown over equal neighbours, and where an end is no line end, over the equal
-  characters of the line, back to the last whole word. Blocks of ``MIN_CHARS``
-  characters are deleted from the later document. What remains is aligned again
-  until no common run is left, so passages that changed places are found too.
+  characters of the line, back to the last whole word. Runs that no anchor
+  reaches (repeated or moved ones) are then taken one by one, each grown both ways.
 
 A first document with many partners is dealt to several tasks, ``FAN_OUT``
-partners each. Texts travel only where they are aligned and shortened. That most runs occur once is used by a bitmap of
-fixed size (``BITMAP_BITS``), which lets most of them stay at home; where it
-fills up, it lets more pass and nothing is lost.
+partners each. Texts travel only where they are aligned and shortened. That most
+runs occur once is used by a bitmap of fixed size (``BITMAP_BITS``), which lets
+most of them stay at home; where it fills up, it lets more pass and nothing is lost.
 
 Defined cases: a null text counts as empty and stays null; rows that share a
-doc_id are one place in the order, so neither is later than the other; a null
-doc_id comes after all others; blank lines belong to the block around them;
-further columns are kept; an empty table gives no rows.
+doc_id are one place in the order, so neither is later than the other, and of
+rows that share text as well each is shortened alike; a null doc_id comes after
+all others; doc_ids are cast to long; blank and short lines belong to the block
+around them; further columns are kept, save that one which bears the name of an
+added column is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,24 +52,34 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import Scratch, free_name, ship
 
-MIN_CHARS, FAN_OUT, BITMAP_BITS = 180, 64, 1 << 26
+MIN_CHARS, LINE_CHARS, FAN_OUT, SALTS, BITMAP_BITS = 180, 24, 64, 32, 1 << 26
 WINDOW, GRAM = 64, 8
+#: Texts of about this many characters are cut together.
+STEP = 1 << 19
 _UNSPACED = 0x2E80
 _LAST = (1 << 63) - 1
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
+#: Random values for the hashes of spans and, of 32 bits, for the places of cuts.
+_OF_CHAR = np.random.default_rng(5).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CUT_OF_CHAR = (_OF_CHAR >> np.uint64(32)).astype(np.uint32)
+_LINE = np.uint64(0x6C696E65)
+_power = {}
 
 
 def _powers(r: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, r, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """r^0, r^1, ...; at least n of them."""
+    known = _power.get(int(r))
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 12), r, np.uint64)
+        known[0] = 1
+        known = _power[int(r)] = np.multiply.accumulate(known)
+    return known
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,119 +103,170 @@ def _sliding(pick, x: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-def cuts(low: str) -> np.ndarray:
-    """Where the pieces of a folded text end."""
-    c = np.frombuffer((low + "\n" * GRAM).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    newline = c == 10
-    h, step = _mix(c + np.uint64(1)), 1
+class Units:
+    """Folded texts end to end, a line end behind each, cut into lines and pieces.
+
+    ``at`` has where each text begins. Of either kind ``starts``, ``of`` (the text),
+    ``sizes`` and ``hashes`` (trimmed) and ``last`` (the first unit of the next text).
+    """
+
+    def __init__(self, lows: list[str]):
+        size = np.fromiter(map(len, lows), np.int64, len(lows))
+        self.at = np.concatenate(([0], np.cumsum(size + 1)))
+        c = np.frombuffer(("\n".join(lows) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = c & np.uint32(0xFFFF)
+        v = _OF_CHAR[low]
+        cut = _CUT_OF_CHAR[low]
+        if int(c.max()) > 0xFFFF:
+            plane = c >> np.uint32(16)
+            v *= plane.astype(np.uint64) * np.uint64(2) + np.uint64(1)
+            cut *= plane * np.uint32(2) + np.uint32(1)
+        v *= _powers(_R, len(c))[: len(c)]
+        self.weighted = np.empty(len(c) + 1, np.uint64)
+        self.weighted[0] = 0
+        np.cumsum(v, out=self.weighted[1:])
+        solid = (c > 32) & (c != 160) & (c != 0x3000)
+        self.solid, self.solid_before = np.append(np.flatnonzero(solid), len(c)), np.cumsum(solid, dtype=np.int32) - solid
+        newline = np.flatnonzero(c == 10)
+        begins = np.concatenate(([0], newline[:-1] + 1))
+        self.lines = Kind(self, begins)
+        first = np.zeros(len(c), bool)
+        first[begins] = first[_anchors(cut, newline)] = True
+        self.pieces = Kind(self, np.flatnonzero(first))
+
+
+class Kind:
+    def __init__(self, units: Units, starts: np.ndarray):
+        self.starts = starts
+        end = len(units.weighted) - 1
+        a = units.solid_before[starts]
+        b = np.append(a[1:], len(units.solid) - 1)
+        lo = units.solid[a]
+        full = b > a
+        lo = np.where(full, lo, np.minimum(lo, end))
+        hi = np.where(full, units.solid[np.maximum(b - 1, 0)] + 1, lo)
+        self.sizes = hi - lo
+        self.hashes = _mix((units.weighted[hi] - units.weighted[lo]) * _powers(_R_INVERSE, end + 1)[lo] + self.sizes.astype(np.uint64))
+        self.of = np.searchsorted(units.at, starts, "right") - 1
+        self.bounds = np.searchsorted(starts, units.at)
+        self.last = self.bounds[self.of + 1]
+
+    def text(self, i: int, begin: int, size: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Hashes and sizes of a text's units, and where they begin and the last one ends."""
+        a, b = self.bounds[i], self.bounds[i + 1]
+        return self.hashes[a:b].view(np.int64), self.sizes[a:b], [*(self.starts[a:b] - begin).tolist(), size]
+
+
+def _anchors(h: np.ndarray, newline: np.ndarray) -> np.ndarray:
+    """Places at which lines are cut: no anchor reads past its line, and a window with a line end in it has none."""
+    n, step = len(h), 1
+    if n < WINDOW:
+        return np.zeros(0, np.int64)
+    h = np.concatenate((h, np.zeros(GRAM, np.uint32)))
     while step < GRAM:
-        h = h[:-step] * (_R + np.uint64(2 * step)) + h[step:]
+        h = h[:-step] * np.uint32(0x9E3779B1 + 2 * step) + h[step:]
         step *= 2
-    h = _mix(h)[: len(low)]
-    # no anchor reads past its line, and a window with a line end in it has none
-    near = np.flatnonzero(newline[: len(low) + 1])
+    h = h[:n]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
     for back in range(1, GRAM):
-        at = near - back
-        h[at[at >= 0]] = np.iinfo(np.uint64).max
-    ends = near[near < len(low)]
-    h[ends] = 0
-    if len(h) >= WINDOW:
-        least = _sliding(np.minimum, h, WINDOW)
-        edge = np.zeros(WINDOW - 1, np.uint64)
-        anchor = h == _sliding(np.maximum, np.concatenate((edge, least, edge)), WINDOW)
-        anchor[1:] &= h[1:] != h[:-1]
-        anchor[ends] = False
-        anchor[0] = False
-        ends = np.union1d(ends + 1, np.flatnonzero(anchor))
-    else:
-        ends = ends + 1
-    return ends if len(ends) and ends[-1] == len(low) else np.append(ends, len(low))
+        at = newline - back
+        h[at[at >= 0]] = np.iinfo(np.uint32).max
+    h[newline] = 0
+    least = _sliding(np.minimum, h, WINDOW)
+    edge = np.zeros(WINDOW - 1, np.uint32)
+    anchor = h == _sliding(np.maximum, np.concatenate((edge, least, edge)), WINDOW)
+    anchor[1:] &= h[1:] != h[:-1]
+    anchor[newline] = False
+    return np.flatnonzero(anchor)
 
 
 def lines_of(text: str) -> list[str]:
     """The text's pieces; end to end they are the text."""
-    ends = cuts(folded(text)).tolist()
-    return [text[a:b] for a, b in zip([0, *ends], ends)]
+    ends = [*Units([folded(text)]).pieces.starts.tolist()[1:], len(text)]
+    return [x for a, b in zip([0, *ends], ends) if (x := text[a:b])]
 
 
 class Pieces:
-    """A text as it is compared: hash and size of each piece, and where pieces begin."""
-
-    def __init__(self, text: str):
-        self.low = folded(text)
-        ends = cuts(self.low).tolist()
-        self.at = [0, *ends]
-        own = [self.low[a:b].strip() for a, b in zip(self.at, ends)]
-        self.sizes = np.fromiter(map(len, own), np.int32, len(own))
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own), np.uint64, len(own)).view(np.int64)
-
+    """One of the texts as it is compared; ``at`` has where its pieces begin, ``line_at`` where its lines do."""
 
-def run_chars(least: int) -> int:
-    return max(1, least * 5 // 9)
+    def __init__(self, units: Units, low: str, i: int = 0):
+        self.low, begin = low, units.at[i]
+        self.hashes, self.sizes, self.at = units.pieces.text(i, begin, len(low))
+        self.line_hashes, self.line_sizes, self.line_at = units.lines.text(i, begin, len(low))
 
 
-def _lined(least: int):
-    """Rows (doc, hashes, sizes) of (doc, text): hash and size of each piece as it is compared."""
+def pieces(text: str) -> Pieces:
+    low = folded(text)
+    return Pieces(Units([low]), low)
 
-    def work(batches):
-        for batch in batches:
-            docs, offsets, hashes, sizes = [], [0], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                if len(text) >= least:
-                    own = Pieces(text)
-                    hashes.append(own.hashes)
-                    sizes.append(own.sizes)
-                    docs.append(doc)
-                    offsets.append(offsets[-1] + len(own.sizes))
-            at = pa.array(offsets, pa.int32())
-            flat = [np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((hashes, np.int64), (sizes, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *(pa.ListArray.from_arrays(at, pa.array(x)) for x in flat)], ["doc", "hashes", "sizes"])
 
-    return work
+def run_chars(least: int) -> int:
+    return max(1, least * 5 // 9)
 
 
-def runs(hashes: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of the run that begins at each line, where the text is long enough for one."""
+def runs(hashes: np.ndarray, sizes: np.ndarray, least: int, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the run that begins at each unit, where the text is long enough for one. ``last``: where each unit's text ends."""
     n = len(hashes)
     total = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
     end = np.searchsorted(total, total[:-1] + least, "left")
-    start = np.flatnonzero((end <= n) & (sizes > 0))
+    start = np.flatnonzero((end <= (n if last is None else last)) & (sizes > 0))
     end = end[start]
     # the sum of h[start + j] r^j, from running sums: it must not depend on where the run stands
-    weighted = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(hashes.view(np.uint64)) * _powers(_R, n), dtype=np.uint64)))
+    weighted = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(hashes.view(np.uint64)) * _powers(_R, n)[:n], dtype=np.uint64)))
     own = (weighted[end] - weighted[start]) * _powers(_R_INVERSE, n)[start]
     return start, end, _mix(own + (end - start).astype(np.uint64)).view(np.int64)
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and flat values of a list column without nulls."""
-    offsets = column.offsets.to_numpy()
-    return offsets - offsets[0], column.flatten().to_numpy()
+def _parts(texts: pa.Array):
+    """Yields (first row, folded texts) for runs of rows of about STEP characters."""
+    out, at, chars = [], 0, 0
+    for i, text in enumerate(texts):
+        out.append(folded(text.as_py()))
+        chars += len(out[-1])
+        if chars >= STEP:
+            yield at, out
+            out, at, chars = [], i + 1, 0
+    if out:
+        yield at, out
+
+
+def _run_lists(least: int, least_line: int):
+    """Rows (doc, runs) of (doc, text): the hashes of each document's runs of both kinds, each once."""
+
+    def work(batches):
+        for batch in batches:
+            for at, lows in _parts(batch.column(1)):
+                own = Units(lows)
+                start, _, h = runs(own.pieces.hashes, own.pieces.sizes, run_chars(least), own.pieces.last)
+                line, _, g = runs(own.lines.hashes, own.lines.sizes, least_line, own.lines.last)
+                of = np.concatenate((own.pieces.of[start], own.lines.of[line]))
+                h = np.concatenate((h, _mix(g.view(np.uint64) + _LINE).view(np.int64)))
+                order = np.lexsort((h, of))
+                of, h = of[order], h[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))[: len(h)]
+                of, h = of[new], h[new]
+                docs, first = np.unique(of, return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), pa.array(h))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs + at)), lists], ["doc", "runs"])
+
+    return work
 
 
-def _run_rows(least: int, bitmap=None):
-    """Rows (run, doc) of (doc, hashes, sizes), each run of a document once; with a bitmap, those that it lets pass."""
+def _shared_runs(bitmap):
+    """Rows (run, doc) of (doc, runs): what the bitmap lets pass."""
 
     def work(batches):
-        bits = None if bitmap is None else bitmap.value
+        bits = bitmap.value
         for batch in batches:
-            doc = batch.column(0).to_numpy()
-            at, hashes = _lists(batch.column(1))
-            _, sizes = _lists(batch.column(2))
-            found, of = [], []
-            for i in range(len(doc)):
-                a, b = at[i], at[i + 1]
-                if sizes[a:b].sum() >= least:
-                    h = np.unique(runs(hashes[a:b], sizes[a:b], least)[2])
-                    if bits is not None:
-                        slot = h.view(np.uint64) % np.uint64(BITMAP_BITS)
-                        h = h[(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1]
-                    if len(h):
-                        found.append(h)
-                        of.append(np.full(len(h), doc[i]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(of))], ["run", "doc"])
+            lists = batch.column(1)
+            at = lists.offsets.to_numpy()
+            h = lists.flatten().to_numpy()
+            slot = h.view(np.uint64) % np.uint64(BITMAP_BITS)
+            held = np.flatnonzero((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+            of = np.repeat(np.arange(len(batch)), np.diff(at))[held]
+            yield pa.RecordBatch.from_arrays([pa.array(h[held]), batch.column(0).take(pa.array(of))], ["run", "doc"])
 
     return work
 
@@ -246,40 +321,34 @@ def patience_blocks(a: list[int], b: list[int], a_free: list[bool], b_free: list
 
 
 def align(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(start in a, start in b, pieces) of what stands in both, each of ``least`` characters or more."""
-    x, y = a.tolist(), b.tolist()
-    size = b_sizes.tolist()
-    a_free, b_free = [True] * len(x), [True] * len(y)
-    out = []
+    """(start in a, start in b, units) of what stands in both, each of ``least`` characters or more.
+
+    One pass of patience diff; then each run that is left by itself, so the work
+    grows with the units and not with how often they repeat.
+    """
     sa, ea, ha = runs(a, a_sizes, least)
-    where = {}
-    for s, e, h in zip(sa.tolist(), ea.tolist(), ha.tolist()):
-        where.setdefault(h, (s, e))
     sb, eb, hb = runs(b, b_sizes, least)
-    left = [(s, e, h) for s, e, h in zip(sb.tolist(), eb.tolist(), hb.tolist()) if h in where]
-    while left:
-        took = False
-        for i, j, n in patience_blocks(x, y, a_free, b_free):
-            if sum(size[j : j + n]) >= least:
-                out.append((i, j, n))
-                a_free[i : i + n] = [False] * n
-                b_free[j : j + n] = [False] * n
-                took = True
-        left = [r for r in left if all(b_free[r[0] : r[1]])]
-        if left and not took:
-            # nothing unique left to hold on to: a run by itself, grown both ways
-            s, e, h = left[0]
-            i = where[h][0]
-            j, n = s, e - s
+    found = np.isin(hb, ha)
+    if not found.any():
+        return []
+    where = dict(zip(ha[::-1].tolist(), sa[::-1].tolist()))
+    x, y, size = a.tolist(), b.tolist(), np.concatenate(([0], np.cumsum(b_sizes))).tolist()
+    b_free = [True] * len(y)
+    out = []
+    for i, j, n in patience_blocks(x, y, [True] * len(x), b_free):
+        if size[j + n] - size[j] >= least:
+            out.append((i, j, n))
+            b_free[j : j + n] = [False] * n
+    for s, e, h in zip(sb[found].tolist(), eb[found].tolist(), hb[found].tolist()):
+        if b_free[s] and all(b_free[s:e]):
+            # nothing unique to hold on to: the run by itself, grown both ways
+            i, j, n = where[h], s, e - s
             while j and i and b_free[j - 1] and x[i - 1] == y[j - 1]:
                 i, j, n = i - 1, j - 1, n + 1
             while j + n < len(y) and i + n < len(x) and b_free[j + n] and x[i + n] == y[j + n]:
                 n += 1
             out.append((i, j, n))
             b_free[j : j + n] = [False] * n
-            left = [r for r in left if all(b_free[r[0] : r[1]])]
-        # lines of a that were used may serve a second copy within b
-        a_free = [True] * len(x)
     return sorted(out)
 
 
@@ -309,35 +378,48 @@ def common(a: Pieces, b: Pieces, i: int, j: int, n: int) -> tuple[int, int]:
     return s, e
 
 
-def shared_ranges(a: Pieces, b: Pieces, least: int = MIN_CHARS) -> list[tuple[int, int]]:
-    """Ranges of characters of ``b`` that stand in ``a`` as well, each of ``least`` or more."""
-    found = (common(a, b, *x) for x in align(a.hashes, a.sizes, b.hashes, b.sizes, run_chars(least)))
-    return sorted({(s, e) for s, e in found if len(b.low[s:e].strip()) >= least})
+def shared_ranges(a: Pieces, b: Pieces, least: int = MIN_CHARS, least_line: int = LINE_CHARS) -> list[tuple[int, int]]:
+    """Ranges of characters of ``b`` that stand in ``a`` as well: passages of ``least`` or more, whole lines of ``least_line`` or more."""
+    out = set()
+    for i, j, n in align(a.hashes, a.sizes, b.hashes, b.sizes, run_chars(least)):
+        s, e = common(a, b, i, j, n)
+        if len(b.low[s:e].strip()) >= least:
+            out.add((s, e))
+    for _, j, n in align(a.line_hashes, a.line_sizes, b.line_hashes, b.line_sizes, least_line):
+        out.add((b.line_at[j], b.line_at[j + n]))
+    return sorted(out)
+
 
+def _all_pieces(texts: pa.Array):
+    for at, lows in _parts(texts):
+        units = Units(lows)
+        for i, low in enumerate(lows):
+            yield at + i, Pieces(units, low, i)
 
-def _aligned(least: int):
-    """Rows (cell, side, first, row, text), sorted: side 0 is a cell's first document, side 1 are its partners. Gives (row, source, start, end) in code points."""
+
+def _aligned(least: int, least_line: int):
+    """Rows (cell, side, first, doc, text_hash, text), sorted: side 0 is a cell's first document, side 1 are its partners. Gives (doc, text_hash, source, start, end) in code points."""
 
     def work(batches):
         cell = first = None
         for batch in batches:
-            cells, side, source, doc = (batch.column(i).to_pylist() for i in range(4))
-            out = ([], [], [], [])
-            for k in range(len(cells)):
+            cells, side, source, doc, text_hash = (batch.column(i).to_pylist() for i in range(5))
+            out = ([], [], [], [], [])
+            for k, own in _all_pieces(batch.column(5)):
                 if side[k] == 1 and cell != cells[k]:
                     continue
-                own = Pieces(batch.column(4)[k].as_py())
                 if side[k] == 0:
                     # rows that share a doc_id: each is a first document for the cell
                     first = [*first, own] if cell == cells[k] else [own]
                     cell = cells[k]
                 else:
                     for f in first:
-                        for s, e in shared_ranges(f, own, least):
-                            for col, v in zip(out, (doc[k], source[k], s, e)):
+                        for s, e in shared_ranges(f, own, least, least_line):
+                            for col, v in zip(out, (doc[k], text_hash[k], source[k], s, e)):
                                 col.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["row", "source", "start", "end"])
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc", "text_hash", "source", "start", "end"])
 
     return work
 
@@ -351,44 +433,43 @@ def _bitmap(shared: DataFrame) -> np.ndarray:
     return out
 
 
-def deletions(docs: DataFrame, least: int = MIN_CHARS, fan_out: int = FAN_OUT) -> DataFrame:
-    """(row, source, start, end): ranges of code points to delete from each text, and the earlier document that has them.
+def _doc():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+
+
+def deletions(docs: DataFrame, scratch: Scratch, least: int = MIN_CHARS, least_line: int = LINE_CHARS, fan_out: int = FAN_OUT) -> DataFrame:
+    """(doc, text_hash, source, start, end): ranges of code points to delete from each text, and the earlier document that has them.
 
-    ``row`` is the hash of a document's id and text.
+    A document is known by its id and the hash of its text.
     """
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(_doc().alias("doc"), _row().alias("row"), "text").where(F.length("text") >= least)
-    arrays = stage(texts.select("doc", "text").mapInArrow(_lined(least), "doc long, hashes array<long>, sizes array<int>"), "lines")
-    run = run_chars(least)
-    seen = arrays.mapInArrow(_run_rows(run), "run long, doc long").groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    shared = stage(seen.where("first < last").select("run", "first"), "shared-runs")
+    texts = docs.select(_doc().alias("doc"), "text").where(F.length("text") >= min(least, least_line))
+    lists = scratch.stage(texts.mapInArrow(_run_lists(least, least_line), "doc long, runs array<long>"), "runs")
+    seen = lists.select("doc", F.explode("runs").alias("run")).groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    shared = scratch.stage(seen.where("first < last").select("run", "first"), "shared-runs")
     bitmap = spark.sparkContext.broadcast(_bitmap(shared))
-    mine = arrays.mapInArrow(_run_rows(run, bitmap), "run long, doc long")
-    pairs = stage(mine.join(shared.hint("merge"), "run").where("first < doc").select("first", "doc").distinct(), "pairs")
-    # each first document meets its partners in cells of about fan_out
-    cells = pairs.groupBy("first").agg(F.ceil(F.count("*") / fan_out).cast("int").alias("cells"))
-    placed = pairs.join(cells.hint("merge"), "first").withColumn("cell", F.xxhash64("first", F.pmod(F.xxhash64("doc"), F.col("cells"))))
+    mine = lists.mapInArrow(_shared_runs(bitmap), "run long, doc long")
+    pairs = scratch.stage(mine.join(shared.hint("merge"), "run").where("first < doc").select("first", "doc").distinct(), "pairs")
+    # each first document meets its partners in cells of about fan_out; those of many partners are joined by salted keys
+    cells = scratch.stage(pairs.groupBy("first").agg(F.ceil(F.count("*") / fan_out).cast("int").alias("cells")), "cells")
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS))
+    wide = cells.where("cells > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    number = F.pmod(F.xxhash64("doc", F.lit(1)), F.coalesce("cells", F.lit(1)).cast("long"))
+    placed = pairs.withColumn("salt", salt).join(wide.hint("merge"), ["first", "salt"], "left").withColumn("cell", F.xxhash64("first", number))
     firsts = cells.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - F.lit(1).cast("long"))).alias("k")).withColumn("cell", F.xxhash64("first", "k"))
     asked = firsts.select(F.col("first").alias("doc"), "cell", F.lit(0).alias("side"), "first").union(placed.select("doc", "cell", F.lit(1).alias("side"), "first"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = asked.join(texts.hint("merge"), "doc").select("cell", "side", "first", "row", "text").repartition(n, "cell").sortWithinPartitions("cell", "side")
-    return both.mapInArrow(_aligned(least), "row long, source long, start int, end int")
-
-
-def _doc():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-
-
-def _row():
-    return F.xxhash64(_doc(), "text")
+    both = asked.join(texts.hint("merge"), "doc").select("cell", "side", "first", "doc", F.xxhash64("text").alias("text_hash"), "text")
+    both = both.repartition(n, "cell").sortWithinPartitions("cell", "side")
+    return both.mapInArrow(_aligned(least, least_line), "doc long, text_hash long, source long, start int, end int")
 
 
 def _kept(batches):
-    """Rows (row, ranges, sources): (row, kept, sources), where ``kept`` has the place and length of each part that stays."""
+    """Rows (doc, text_hash, ranges, sources): ``kept`` has the place and length of each part that stays, in place of the ranges."""
     for batch in batches:
         kept = []
-        for ranges in batch.column(1).to_pylist():
+        for ranges in batch.column(2).to_pylist():
             parts, at = [], 0
             for r in sorted(ranges, key=lambda r: (r["start"], r["end"])):
                 if r["start"] > at:
@@ -397,21 +478,22 @@ def _kept(batches):
             parts.append({"at": at, "n": (1 << 31) - 1 - at})
             kept.append(parts)
         kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, kind), batch.column(2)], ["_row", "_kept", "_sources"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, kind), batch.column(3)], ["doc", "text_hash", "kept", "sources"])
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, fan_out: int = FAN_OUT) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, least_line: int = LINE_CHARS, fan_out: int = FAN_OUT, sources: str = "sources", deleted: str = "chars_deleted") -> DataFrame:
     """``docs`` with ``text`` shortened and two further columns: ``sources`` (doc_ids of the earlier documents, ascending) and ``chars_deleted``."""
-    gone = deletions(docs.select("doc_id", "text"), least, fan_out)
-    gone = gone.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("ranges"), F.array_sort(F.collect_set("source")).alias("sources"))
-    gone = stage(gone.mapInArrow(_kept, "_row long, _kept array<struct<at:int,n:int>>, _sources array<long>"), "deletions")
+    with Scratch(docs.sparkSession) as scratch:
+        gone = deletions(docs.select("doc_id", "text"), scratch, least, least_line, fan_out)
+        gone = gone.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("ranges"), F.array_sort(F.collect_set("source")).alias("sources"))
+        gone = scratch.keep(gone.mapInArrow(_kept, "doc long, text_hash long, kept array<struct<at:int,n:int>>, sources array<long>"), "deletions")
+    own = [c for c in docs.columns if c.lower() not in (sources.lower(), deleted.lower())]
+    doc, text_hash, kept, of, short = (free_name(x, docs.columns) for x in ("doc", "text_hash", "kept", "of", "short"))
     # one plan at every size: what is deleted grows with the corpus, so it is never broadcast
-    joined = docs.withColumn("_row", _row()).join(gone.hint("merge"), "_row", "left")
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_kept", lambda k: F.substring("text", k["at"] + 1, k["n"])), ""))
-    own = [c for c in docs.columns if c not in ("text", "sources", "chars_deleted")]
-    return joined.withColumn("_text", text).select(
-        *own,
-        F.col("_text").alias("text"),
-        F.coalesce("_sources", F.array().cast("array<bigint>")).alias("sources"),
-        F.coalesce(F.length("text") - F.length("_text"), F.lit(0)).alias("chars_deleted"),
+    joined = docs.withColumns({doc: _doc(), text_hash: F.xxhash64("text")}).join(gone.toDF(doc, text_hash, kept, of).hint("merge"), [doc, text_hash], "left")
+    text = F.when(F.col(kept).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda k: F.substring("text", k["at"] + 1, k["n"])), ""))
+    return joined.withColumn(short, text).select(
+        *(F.col(short).alias(c) if c == "text" else F.col(f"`{c}`") for c in own),
+        F.coalesce(of, F.array().cast("array<bigint>")).alias(sources),
+        F.coalesce(F.length("text") - F.length(short), F.lit(0)).alias(deleted),
     )

@@ -10,18 +10,20 @@ one text after the other would.
 
 Defined cases: a null text counts as empty; an empty text, or one of white
 space only, has the fingerprint of no phrases; equal texts have equal
-fingerprints; rows that share a doc_id follow each other by falling text; a
-null doc_id comes last; further columns are ignored.
+fingerprints; rows that share a doc_id follow each other by falling hash of their
+texts, then by falling text; a null doc_id comes last; doc_ids are cast to long;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
@@ -81,6 +83,7 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 def _walk(batches):
     """Rows (bucket, ahead, doc_id, text) in order; ``ahead`` marks the first document of the next bucket."""
     before = None  # (bucket, doc_id, text, signature) whose next document is not known yet
+    last = None  # what was said of a text before the same text, for repeated rows
 
     for batch in batches:
         out = []
@@ -88,11 +91,21 @@ def _walk(batches):
             text = text or ""
             sign = None
             if before is not None and before[0] == bucket:
-                sign = signature(text)
                 b, d, t, s = before
-                e = edited(t, text)
-                es = signature(e)
-                out.append((d, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), s.tobytes().hex(), es.tobytes().hex(), likeness(s, es), likeness(s, sign)))
+                same = t == text
+                sign = s if same else signature(text)
+                if not same:
+                    last = None
+                if last is None:
+                    e = edited(t, text)
+                    es = signature(e)
+                    said = (len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), s.tobytes().hex(), es.tobytes().hex(), likeness(s, es), likeness(s, sign))
+                    last = said if same else None
+                else:
+                    said = last
+                out.append((d, *said))
+            else:
+                last = None
             before = None if ahead else (bucket, doc, text, signature(text) if sign is None else sign)
         if out:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -111,21 +124,33 @@ def _range_index(x, cuts: list[int], lo: int, hi: int):
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint against its edited text's and the next document's, by falling doc_id; the last one's next is the first.
 
-    Ids are cut into ranges; each range also gets the first row of the range
-    that follows it, so every range is walked by itself and texts move once.
+    Ids are cut into ranges, and an id (or the null ids) that fills a range by
+    itself is cut by the hash of its texts; each range also gets the first row of
+    the range that follows it, so every range is walked by itself and texts move
+    once. The list of ranges is bounded by the number of shuffle partitions.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 100_000)).first()[0] or []
-    ranges = sorted(set(cuts))
+    cuts, nulls, rows = docs.agg(F.percentile_approx("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 100_000), F.count_if(F.col("doc_id").isNull()), F.count("*")).first()
+    often = Counter(cuts or [])
+    # an id at several cuts has a range of its own
+    ranges = sorted(set(often) | {c - 1 for c, k in often.items() if k > 1})
     index = _range_index(F.col("doc_id"), ranges, 0, len(ranges))
-    rows = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(index).cast("int"))
-    order = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    heads = rows.groupBy("bucket").agg(F.max(F.struct(order.alias("o"), "text")).alias("head"))
-    w = Window.orderBy("bucket")
-    heads = heads.select(F.coalesce(F.lead("bucket").over(w), F.first("bucket").over(w)).alias("bucket"), F.lit(1).alias("ahead"), "head.o", "head.text")
-    both = rows.select("bucket", F.lit(0).alias("ahead"), "doc_id", "text").union(heads.withColumnRenamed("o", "doc_id"))
-    both = both.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), F.desc("text"))
-    return both.mapInArrow(_walk, OUT)
+    shares = {ranges.index(c): k + 1 for c, k in often.items() if k > 1}
+    if nulls:
+        shares[-1] = 1 + 4 * n * nulls // rows
+    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(index).cast("int")
+    # rows of one id stand by falling hash of their text; ranges are numbered so that they rise as documents fall
+    hashed = F.xxhash64("text")
+    parts = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), bucket), F.lit(1)) if shares else F.lit(1)
+    part = F.least(((-hashed.cast("double") / 2.0**64 + 0.5) * parts).cast("int"), parts - 1)
+    rows = docs.select("doc_id", "text", hashed.alias("hash"), ((F.lit(len(ranges) + 1) - bucket).cast("long") * (1 << 20) + part).alias("bucket"))
+    heads = rows.groupBy("bucket").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), "hash", "text")).alias("head"))
+    present = sorted(r.bucket for r in rows.select("bucket").distinct().collect())
+    before = spark.createDataFrame(list(zip(present, present[-1:] + present[:-1])), "bucket long, before long")
+    heads = heads.join(F.broadcast(before), "bucket").select(F.col("before").alias("bucket"), F.lit(1).alias("ahead"), F.col("head.o").alias("doc_id"), "head.hash", "head.text")
+    both = rows.select("bucket", F.lit(0).alias("ahead"), "doc_id", "hash", "text").union(heads)
+    both = both.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), F.desc("hash"), F.desc("text"))
+    return both.select("bucket", "ahead", "doc_id", "text").mapInArrow(_walk, OUT)

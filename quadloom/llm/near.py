@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import ship, stage
+from .common import Scratch, free_name, ship, stage
 
 BANDS, ROWS = 20, 5
 _KEYS = np.random.default_rng(64).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -112,26 +112,27 @@ def _verified(shingle: int, at_least: float):
     return run
 
 
-def groups(rows: DataFrame, shingle: int = 5, radius: int = 6, at_least: float = 0.8, id_col: str = "_row", block: int = 4096) -> DataFrame:
+def groups(rows: DataFrame, shingle: int = 5, radius: int = 6, at_least: float = 0.8, id_col: str = "row", block: int = 4096) -> DataFrame:
     """(id, group) for every row of ``rows``, whose ids are distinct: rows joined by links of ``at_least`` share a group."""
     spark = rows.sparkSession
     ship(spark)
     texts = rows.select(F.col(id_col).alias("row"), "text")
     sketches = stage(texts.mapInArrow(_sketches(shingle), "row long, node long, bands array<long>"), "sketches")
-    alike = simhash.near_duplicates(texts, shingle, radius, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
-    nodes = sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
-    nodes = stage(nodes.join(alike, "row"), "near-nodes")
-    names = F.concat("bands", F.array(F.xxhash64(F.lit("simhash"), "component_id")))
-    routed = nodes.select(F.explode(names).alias("shard"), "node", "row")
-    hot = routed.groupBy("shard").agg(F.count("*").alias("rows")).where("rows > 1")
-    routed = routed.join(hot, "shard")
-    parts = F.ceil(F.col("rows") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
-    others = F.filter(F.sequence(F.lit(0), parts - 1), lambda j: (parts == 1) | (j != mine))
-    cells = F.transform(others, lambda j: F.xxhash64(F.col("shard"), F.least(mine, j), F.greatest(mine, j)))
-    cells = stage(routed.select(F.explode(cells).alias("cell"), "node", "row"), "near-cells")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    filled = cells.join(texts.hint("merge"), "row").select("cell", "node", "text").repartition(n, "cell").sortWithinPartitions("cell")
-    roots = simhash.components(filled.mapInArrow(_verified(shingle, at_least), "u long, v long"))
-    roots = roots.withColumnRenamed("root", "_root")
-    return sketches.join(roots, "node", "left").select(F.col("row").alias(id_col), F.coalesce("_root", "node").alias("group"))
+    with Scratch(spark) as scratch:
+        alike = simhash.near_duplicates(texts, shingle, radius, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+        nodes = sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
+        nodes = scratch.stage(nodes.join(alike, "row"), "near-nodes")
+        names = F.concat("bands", F.array(F.xxhash64(F.lit("simhash"), "component_id")))
+        routed = nodes.select(F.explode(names).alias("shard"), "node", "row")
+        hot = routed.groupBy("shard").agg(F.count("*").alias("rows")).where("rows > 1")
+        routed = routed.join(hot, "shard")
+        parts = F.ceil(F.col("rows") / block).cast("int")
+        mine = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
+        others = F.filter(F.sequence(F.lit(0), parts - 1), lambda j: (parts == 1) | (j != mine))
+        cells = F.transform(others, lambda j: F.xxhash64(F.col("shard"), F.least(mine, j), F.greatest(mine, j)))
+        cells = scratch.stage(routed.select(F.explode(cells).alias("cell"), "node", "row"), "near-cells")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        filled = cells.join(texts.hint("merge"), "row").select("cell", "node", "text").repartition(n, "cell").sortWithinPartitions("cell")
+        roots = simhash.components(filled.mapInArrow(_verified(shingle, at_least), "u long, v long"))
+    group = free_name("root", [id_col, "row", "node"])
+    return sketches.join(roots.withColumnRenamed("root", group), "node", "left").select(F.col("row").alias(id_col), F.coalesce(group, "node").alias("group"))

@@ -7,13 +7,16 @@ falling length, each into the first sequence with room, which a tournament
 tree of free capacities finds in logarithmic time.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are
-packed once each; ties in length go by doc_id, then start; further columns are
-ignored; no documents give no rows.
+packed once each, and dealt to groups by their content, their task and how often
+the task has met them, so no id fills one group; ties in length go by doc_id, then
+start, then content; doc_ids are cast to long; further columns are ignored; no
+documents give no rows.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from .tokens import encode_all
 LENGTH = 4096
 #: A group has about this many documents, and about this many characters at most.
 GROUP_DOCS, GROUP_CHARS = 2000, 8_000_000
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def first_fit(sizes: list[int], length: int) -> list[int]:
@@ -63,10 +66,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _pieces(tokenizer: str, end_id: int, length: int, groups: int):
-    """Rows (grp, doc_id, start, length, ids, doc_tokens): ids as little-endian unsigned 32-bit integers."""
+def _pieces(tokenizer: str, end_id: int, length: int, groups: int, with_ids: bool):
+    """Rows (grp, doc_id, start, length, ids, ids_crc32, doc_tokens): ids as little-endian unsigned 32-bit integers."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        task = np.uint64(TaskContext.get().partitionId())
+        again: dict[int, int] = {}  # how often the task has met a row, which deals repeated rows and null ids to many groups
         for batch in batches:
             for at, each in encode_all(tokenizer, batch.column(1)):
                 doc = batch.column(0).slice(at, len(each))
@@ -83,16 +90,25 @@ def _pieces(tokenizer: str, end_id: int, length: int, groups: int):
                 size = np.minimum(length, n[of] - start)
                 bounds = np.concatenate(([0], np.cumsum(size))).astype(np.int32) * 4
                 data = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(ids)])
-                seed = pc.fill_null(doc, -1).to_numpy().astype(np.int64).view(np.uint64)[of]
-                grp = _mix(_mix(seed + np.uint64(0x9E3779B97F4A7C15)) + start.astype(np.uint64)) % np.uint64(groups)
-                yield pa.RecordBatch.from_arrays([pa.array(grp.astype(np.int64)), doc.take(pa.array(of)), pa.array(start), pa.array(size), data, pa.array(n[of])], ["grp", "doc_id", "start", "length", "ids", "doc_tokens"])
+                seed = pc.fill_null(doc, -1).to_numpy().astype(np.int64).view(np.uint64)
+                whole = np.array([zlib.crc32(ids[b - k : b]) for b, k in zip(total.tolist(), n.tolist())], np.uint64)
+                seed = _mix(_mix(seed + np.uint64(0x9E3779B97F4A7C15)) + whole)
+                met = np.zeros(len(seed), np.uint64)
+                for i, s in enumerate(seed.tolist()):
+                    met[i] = again[s] = again.get(s, -1) + 1
+                seed = _mix(seed + (met << np.uint64(24)) + task)
+                grp = _mix(seed[of] + start.astype(np.uint64)) % np.uint64(groups)
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip((bounds[:-1] // 4).tolist(), (bounds[1:] // 4).tolist())]
+                if not with_ids:
+                    data = pa.nulls(len(of), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(grp.astype(np.int64)), doc.take(pa.array(of)), pa.array(start), pa.array(size), data, pa.array(crc, pa.int64()), pa.array(n[of])], ["grp", "doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
 
     return run
 
 
 def _pack(length: int):
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
+        rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]))
         size = rows.column("length").to_numpy()
         bins = np.array(first_fit(size.tolist(), length), np.int64)
         order = np.argsort(bins, kind="stable")
@@ -102,17 +118,20 @@ def _pack(length: int):
         offset = np.empty(len(bins), np.int64)
         offset[order] = ends - size[order] - base
         sequence = (rows.column("grp").to_numpy() << 24) + bins
-        names = ["doc_id", "start", "length", "ids", "doc_tokens"]
+        names = ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"]
         return pa.Table.from_arrays([*(rows.column(x) for x in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): a row for each piece of each document."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, group_docs: int = GROUP_DOCS, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset): a row for each piece of each document.
+
+    Packing looks at lengths alone, so without ``with_ids`` the ids stay where they were made and ``ids`` is null.
+    """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     groups = max(1, math.ceil(n / group_docs), math.ceil(chars / GROUP_CHARS))
-    pieces = docs.mapInArrow(_pieces(tokenizer, end_id, length, groups), "grp long, doc_id long, start long, length long, ids binary, doc_tokens long")
+    pieces = docs.mapInArrow(_pieces(tokenizer, end_id, length, groups, with_ids), "grp long, doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long")
     return pieces.groupBy("grp").applyInArrow(_pack(length), SCHEMA)

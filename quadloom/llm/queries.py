@@ -24,11 +24,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-def toxic_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``score``; nothing is learnt from rows whose fold is 2."""
+def toxic_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``; nothing is learnt from rows whose fold is 2."""
     fold = toxicity.fold(F.col("doc_id"))
     model, weights = toxicity.train(docs, labels, counted=fold.isin(0, 1), calibrated=fold == 3)
-    return toxicity.score(docs, model, weights)
+    return toxicity.score(docs, model, weights, name)
 
 
 TOXIC_AT = 0.3
@@ -52,8 +52,8 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     rows = rows.union(spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema))
-    return chat.digest(chat.format_events(chat.turns_as_events(rows)))
+    return chat.digest(chat.format_events(chat.turns_as_streamed(rows)))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,17 +13,18 @@ How links are found without comparing all pairs:
   Hamming distance to the parent, and a search follows only the edges within
   ``radius`` of the query's own distance;
 * a shard of more than ``block`` fingerprints is cut into blocks. Each block
-  gets its own tree, and that tree goes to every block of the shard, so no task
-  holds more than two blocks of a shard at once;
-* a task reports a spanning forest of the links it saw, not each link, which
-  leaves reachability as it is.
+  gets its own tree, and that tree goes to every block of the shard. Bands of
+  uniform bits make such shards rare: two of six bands are over 20 bits;
+* a task works through its shards in runs of about ``RUN`` fingerprints and keeps
+  a spanning forest of the links it saw, not each link, which leaves
+  reachability as it is. Hits are joined as they come, ``FRONT`` at a time.
 
 Components come from alternating large-star and small-star passes.
 
 Defined cases: a null text counts as empty; a text without words has
 fingerprint zero and is linked like any other; rows repeated under one doc_id
 each give a row; a null doc_id is never a component's name unless nothing else
-is in it; further columns are ignored.
+is in it; further columns are ignored; doc_ids are cast to long.
 """
 
 from __future__ import annotations
@@ -36,11 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import Scratch, ship, stage
 
 _SPACE = bytes.maketrans(b"\t\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz")
 _SPARE = b" "
 _HEAP = 1 << 16
+#: Fingerprints that a task holds at once (and the rest of a shard), and pairs that a search looks at.
+RUN, FRONT = 1 << 18, 1 << 21
 
 
 def _shingles(text: str | None, shingle: int):
@@ -95,6 +98,7 @@ class Forest:
         order = np.argsort(shard, kind="stable")
         self.shards, first = np.unique(shard[order], return_index=True)
         self.roots = order[first]
+        self.largest = int(np.diff(np.append(first, len(order))).max()) if len(first) else 0
         left = np.ones(len(codes), bool)
         left[self.roots] = False
         rest = order[left[order]]
@@ -120,8 +124,10 @@ class Forest:
         at = np.searchsorted(self.shards, shard)
         at[at == len(self.shards)] = 0
         known = np.flatnonzero(self.shards[at] == shard) if len(self.shards) else np.zeros(0, np.int64)
-        for lo in range(0, len(known), 1 << 15):
-            q = known[lo : lo + (1 << 15)]
+        # a search never stands at more nodes than its shard has, so FRONT bounds what it holds
+        part = max(64, FRONT // max(1, self.largest))
+        for lo in range(0, len(known), part):
+            q = known[lo : lo + part]
             node = self.roots[at[q]]
             while len(q):
                 d = bits_between(queries[q], self.codes[node])
@@ -136,49 +142,61 @@ class Forest:
                 node = self.kid[np.arange(len(q)) + skip]
 
 
-def _spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that keep everything joined which (a, b) joins."""
-    up: dict[int, int] = {}
+class Joined:
+    """Which of n things hang together, and the links that first joined them."""
 
-    def top(x):
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def flat(self) -> np.ndarray:
+        while (self.up != (up := self.up[self.up])).any():
+            self.up = up
+        return self.up
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        up = self.flat()
+        new = up[a] != up[b]
+        _, first = np.unique(np.stack([up[a][new], up[b][new]]), axis=1, return_index=True)
+        for x, y in zip(a[new][first].tolist(), b[new][first].tolist()):
+            rx, ry = self.top(x), self.top(y)
+            if rx != ry:
+                self.up[max(rx, ry)] = min(rx, ry)
+                self.links.append((x, y))
+
+    def top(self, x: int) -> int:
+        while (y := int(self.up[x])) != x:
+            self.up[x] = self.up[y]
             x = y
         return x
 
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        rx, ry = top(x), top(y)
-        if rx != ry:
-            up[max(rx, ry)] = min(rx, ry)
-            out.append((x, y))
-    return out
-
 
 def _links(radius: int):
-    """Rows (shard, side, fp): side 1 builds the trees, side 0 asks; a plain shard's rows are both (side 2)."""
+    """Rows (shard, side, fp), sorted by shard: side 1 builds the trees, side 0 asks; a plain shard's rows are both (side 2)."""
 
-    def run(batches):
-        shard, side, fp = [], [], []
-        for x in batches:
-            shard.append(x.column(0).to_numpy())
-            side.append(x.column(1).to_numpy())
-            fp.append(x.column(2).to_numpy())
-        if not shard:
-            return
-        shard, side, fp = np.concatenate(shard), np.concatenate(side), np.concatenate(fp).view(np.uint64)
+    def search(shard, side, fp):
         tree, ask = np.flatnonzero(side > 0), np.flatnonzero(side != 1)
         forest = Forest(fp[tree], shard[tree])
-        found = [(ask[q], tree[n]) for q, n in forest.search(fp[ask], shard[ask], radius)]
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            a, b = fp[a].view(np.int64), fp[b].view(np.int64)
-            keep = a != b
-            lo, hi = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-            both = np.unique(np.stack([lo, hi], 1), axis=0)
-            out = _spanning(both[:, 0], both[:, 1])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
+        codes, of = np.unique(fp, return_inverse=True)
+        joined = Joined(len(codes))
+        for q, n in forest.search(fp[ask], shard[ask], radius):
+            joined.add(of[ask[q]], of[tree[n]])
+        codes = codes.view(np.int64)
+        ends = np.array(joined.links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(codes[ends[:, 0]]), pa.array(codes[ends[:, 1]])], ["u", "v"])
+
+    def run(batches):
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)]
+        for x in batches:
+            new = x.column(0).to_numpy(), x.column(1).to_numpy(), x.column(2).to_numpy().view(np.uint64)
+            held = [np.concatenate(p) for p in zip(held, new)]
+            if len(held[0]) >= RUN:
+                whole = int(np.searchsorted(held[0], held[0][-1]))  # the last shard may go on
+                if whole:
+                    yield search(*(c[:whole] for c in held))
+                    held = [c[whole:] for c in held]
+        if len(held[0]):
+            yield search(*held)
 
     return run
 
@@ -217,35 +235,44 @@ def links(prints: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
         ),
     )
     cells = routed.select(F.explode(cells).alias("c")).select("c.shard", "c.side", "c.fp")
-    found = cells.repartition(n, "shard").mapInArrow(_links(radius), "u long, v long")
+    found = cells.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_links(radius), "u long, v long")
     return found.distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of the links (u, v)."""
-    edges = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-
-    def sums(e):
-        return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
-
-    state = sums(edges)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stage(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stage(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
-        now = sums(edges)
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    """(node, root): the smallest node reachable, for every node of the links (u, v).
+
+    Large-star and small-star passes settle in O(log^2) rounds of the longest path,
+    so 60 are beyond any input; a table of each pass is deleted once the next is there.
+    """
+    with Scratch(edges.sparkSession) as scratch:
+        edges = scratch.stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+
+        def sums(e):
+            return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+
+        state = sums(edges)
+        for _ in range(max_rounds):
+            if not state[0]:
+                break
+            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            # the least neighbours are written, so both sides of a join are plain and a hub's rows can be split
+            least = scratch.stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            large = scratch.stage(large, "large-star")
+            scratch.drop_all_but(1)
+            least = scratch.stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+            small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+            edges = scratch.stage(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
+            scratch.drop_all_but(1)
+            now = sums(edges)
+            if now == state:
+                break
+            state = now
+        else:
+            raise RuntimeError("components did not settle")
+        found = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        return scratch.keep(found, "components")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
@@ -253,9 +280,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stage(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
-    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
-    roots = components(links(nodes.select("fp"), radius, block))
-    roots = stage(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    with Scratch(docs.sparkSession) as scratch:
+        nodes = scratch.stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+        roots = components(links(nodes.select("fp"), radius, block))
+        roots = scratch.keep(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     of = roots.join(named, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

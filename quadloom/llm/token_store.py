@@ -13,7 +13,7 @@ under a temporary name and renamed, which makes a repeated task harmless.
 
 Defined cases: a null or empty text is a document of the end id alone; equal
 doc_ids follow each other in text order; a null doc_id sorts first and reads
-back as null; further columns are ignored; no documents give no shards.
+back as null; doc_ids are cast to long; further columns are ignored; no documents give no shards.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ MAGIC = b"QLTK"
 HEAD = struct.Struct("<4sHHQ32s")
 ENTRY = np.dtype([("doc_id", "<i8"), ("tokens", "<u4"), ("at", "<u8"), ("bytes", "<u4")])
 NO_ID = -(1 << 63)
-#: The dictionary is trained on this many documents at most (those of the least hash), on this many ids of each.
+#: The dictionary is trained on about this many documents (those of the least hash), on a window of this many ids of
+#: each, which begins anywhere in the text. It is the one part that sees a sample; every document is written whole.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 8192, 64 << 10
 SHARD_BYTES = 32 << 20
 
@@ -51,14 +52,21 @@ def open_dir(uri: str):
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
     import zstandard
 
-    rows = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select(F.substring("text", 1, 16 * SAMPLE_IDS).alias("text")).toArrow()
+    total = docs.count()
+    chars = 16 * SAMPLE_IDS
+    place = F.xxhash64("doc_id", "text")
+    sampled = docs.where(F.pmod(place, F.lit(1 << 40)) <= F.lit(int(min(1.0, SAMPLE_DOCS / max(1, total)) * (1 << 40))))
+    start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
+    # a document may be repeated without end, so the bound holds for rows as well
+    rows = sampled.limit(2 * SAMPLE_DOCS).select(F.substring("text", start, F.lit(chars)).alias("text")).toArrow()
     arrays = []
     for _, ids in encode_all(tokenizer, rows.column("text").combine_chunks()) if len(rows) else ():
         arrays += [np.append(x[:SAMPLE_IDS], end_id).astype(f"<u{width}").tobytes() for x in ids]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
-    except zstandard.ZstdError:  # too few or too short documents
-        return b"".join(arrays)[:DICTIONARY_BYTES]
+    except zstandard.ZstdError:  # too few or too short documents to train on: an equal share of each is the dictionary
+        share = DICTIONARY_BYTES // max(1, len(arrays))
+        return b"".join(x[: share // width * width] for x in arrays)
 
 
 def _shards(tokenizer: str, end_id: int, width: int, dictionary: bytes, uri: str, shard_bytes: int):

@@ -3,14 +3,15 @@
 The library spends nearly all its time on the merges of words that it has met
 before, so texts are cut at single spaces and each distinct piece is encoded
 once for each worker. A space between two other characters always ends a
-pre-token in the vocabularies used here; texts with two spaces in a row (and,
-for lower-casing vocabularies, with characters beyond U+024F) go to the library
-whole. The result is that of encoding the whole text, which the tests check.
+pre-token in the vocabularies used here; texts with two spaces in a row or the
+name of a special token (and, for lower-casing vocabularies, with characters
+beyond U+024F) go to the library whole, which reads such names as it always does. The result is that of encoding the whole text, which the tests check.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,11 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
+        # pieces have no special token's name in them; what they spell end to end must not count as one
+        self.lib, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        names = [t.content for t in self.plain.get_added_tokens_decoder().values()]
+        self.names = "|".join(re.escape(x) for x in names)
         said = json.loads(open(path, encoding="utf-8").read())
         self.lower = said["normalizer"] is not None
         end = said["model"].get("end_of_word_suffix") or ""
@@ -40,8 +44,8 @@ class Encoder:
         self.memo: dict[str, int] = {}
         self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _one_by_one(self, pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _one_by_one(self, pieces: list[str], lib=None) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in (lib or self.lib).encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _encode(self, pieces: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces end to end, and how many each has: the pieces are encoded as
@@ -68,6 +72,8 @@ class Encoder:
         """Ids of every text; a null counts as empty."""
         given = texts = pc.fill_null(texts, "")
         odd = pc.match_substring(texts, "  ")
+        if self.names:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.names, ignore_case=self.lower))
         if self.lower:
             odd = pc.or_(odd, pc.match_substring_regex(texts, "[^\\x00-\\x{12F}\\x{132}-\\x{24F}]"))
         whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
@@ -95,7 +101,7 @@ class Encoder:
         total = np.concatenate(([0], np.cumsum(n)))
         ids = flat[np.arange(total[-1]) + np.repeat(off[row] - total[:-1], n)]
         out = np.split(ids, total[starts[1:-1]])
-        for i, ids in zip(whole.tolist(), self._one_by_one(given.take(pa.array(whole)).to_pylist()) if len(whole) else ()):
+        for i, ids in zip(whole.tolist(), self._one_by_one(given.take(pa.array(whole)).to_pylist(), self.plain) if len(whole) else ()):
             out[i] = ids
         return out
 

@@ -27,11 +27,14 @@ def docs(spark):
 ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "the same words here again and again " * 9), (4, "the same words here again and again " * 9), (5, "the same words here again and again " * 9), (None, "no id " * 50), (6, "long " * 40000), (7, "ünï çødé <s> \\ \x00 &amp;"), (8, "x" * 5000)]
 
 
+CLASHES = "_row _kept _sources _text sources chars_deleted doc text_hash kept of short tie key group root node spans found hash page bucket".split()
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and very long texts, ties, repeated rows, and columns with names that operators use."""
-    rows = [(d, t, None, None, None, 1, 2, "x", 3, 0.5) for d, t in ODD]
-    return spark.createDataFrame(rows, DOCS + ", row long, fp long, kind string, sequence_id int, score double")
+    rows = [(d, t, None, None, None, 1, 2, "x", 3, 0.5, *[7] * len(CLASHES)) for d, t in ODD]
+    return spark.createDataFrame(rows, DOCS + ", row long, fp long, kind string, sequence_id int, score double, " + ", ".join(f"{c} int" for c in CLASHES))
 
 
 @pytest.fixture(scope="module")
@@ -182,9 +185,7 @@ def test_toxicity_tells_contexts_apart_at_every_size():
     batch = pa.RecordBatch.from_pydict({"word": words[:250_000], "t": [1] * 250_000, "o": [2] * 250_000})
     known = next(iter(toxicity._prefixes([batch])))
     known = pa.Table.from_batches([known]).group_by("h").aggregate([("parent", "min"), ("tri", "min"), ("t", "sum"), ("o", "sum")])
-    known = pa.RecordBatch.from_arrays([known.column(c).combine_chunks() for c in ("h", "parent_min", "tri_min", "t_sum", "o_sum")], ["h", "parent", "tri", "t", "o"])
-    rows = pa.Table.from_batches([next(iter(toxicity._tables(1.0)([known])))])
-    n = toxicity.Model(rows).n
+    n = toxicity.Table(known.column("h").to_numpy(), [known.column("t_sum").to_numpy(), known.column("o_sum").to_numpy()])
     for own, want in ((words[:250_000], 1), (words[250_000:], 0)):
         *_, (_, _, child, _, _, _) = (x for x in toxicity.steps(own) if len(x[0]) == len(own))
         t, o = n.at(child)
@@ -229,6 +230,22 @@ def test_line_dedup_passages(spark):
     assert got[201].text == "between w7\n" and got[202].text is None and got[203].text == "short\nshort\n"
 
 
+def test_whole_lines(spark):
+    """Every line that an earlier document has goes, short ones too where asked for; against sets of lines."""
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 400, rng.integers(1, 40))) for _ in range(300)]
+    boiler = "x" * 100 + " a line of 149 characters that fifty documents have "[:49]
+    rows = [(i, "\n".join([*(lines[k] for k in rng.integers(0, 300, 5)), boiler, f"own line of document {i}"])) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (line_dedup.LINE_CHARS, 1):
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, least_line=least, fan_out=3).collect()}
+        before: set[str] = set()
+        for i, text in rows:
+            own = text.split("\n")
+            assert [x for x in got[i].split("\n") if x] == [x for x in own if not (x in before and len(x) >= least)], (least, i)
+            before |= set(own)
+
+
 @pytest.mark.parametrize("kind", ["latin", "cyrillic", "cjk"])
 def test_line_dedup_inside_running_lines(spark, kind):
     """Common passages within lines that have no cut of their own: 50 words from J-Z without sentence marks, other scripts, one long line."""
@@ -255,13 +272,15 @@ def test_line_dedup_inside_running_lines(spark, kind):
 def test_line_dedup_odd(spark, odd, none):
     got = line_dedup.dedup_lines(odd).collect()
     assert len(got) == len(ODD) and got[0].asDict().keys() == {*odd.columns, "sources", "chars_deleted"}
+    assert all(r[c] == 7 for r in got for c in CLASHES if c not in ("sources", "chars_deleted"))
+    kept = line_dedup.dedup_lines(odd, sources="from", deleted="gone").collect()
+    assert all(r[c] == 7 for r in kept for c in CLASHES)
     assert sorted(len(r.text) > 0 for r in got if r.doc_id in (4, 5)) == [False, True, True]
     assert line_dedup.dedup_lines(none).count() == 0
 
 
 def ids_of(name, texts, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 
@@ -383,6 +402,14 @@ def test_chat_escapes(text):
 
 def test_chat_events(spark):
     log = [(1, 1, 1, "message", "user", "hi"), (1, 2, 2, "message", "assistant", "a"), (1, 2, 3, "delta", None, "b"), (1, 2, 5, "delta", None, "d"), (1, 2, 4, "regenerate", "assistant", "c"), (1, 1, 6, "edit", None, "hello"), (1, 3, 7, "message", "user", "x"), (1, 3, 8, "delete", None, None), (None, None, None, "message", None, None)]
+    turns = [(5, 0, "user", "é" * 70_000), (5, 1, "assistant", "b"), (5, 1, "assistant", "a"), (5, 1, "assistant", "a"), (5, None, "user", None), (None, 0, "assistant", "x")]
+    turns = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit("clash")).withColumn("kind", F.lit(0)).withColumn("message", F.lit(0))
+    for as_log in (chat.turns_as_streamed, chat.turns_as_events):
+        said = {r.conv_id: r for r in chat.digest(chat.format_events(as_log(turns))).collect()}
+        assert said[None].n_turns == 1 and said[None].loss_chars == 1
+        if as_log is chat.turns_as_streamed:
+            plain = "user\n\n" + "user\n" + "é" * 70_000 + "\nassistant\na\nassistant\na\nassistant\nb\n"
+            assert said[5].turns_sha256 == hashlib.sha256(plain.encode()).hexdigest() and said[5].loss_sha256 == hashlib.sha256(b"aab").hexdigest()
     df = spark.createDataFrame(log, "conv_id long, message long, seq long, kind string, role string, text string").withColumn("n", F.lit(1))
     rows = chat.format_events(df, segment=10).collect()
     text = "".join(r.formatted for r in sorted((r for r in rows if r.conv_id == 1), key=lambda r: r.segment))
@@ -469,9 +496,9 @@ def test_near_groups_by_blocks(spark):
 
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(40)]  # all alike, none equal
-    rows = spark.createDataFrame(list(enumerate([*texts, None, "", "alone"])), "_row long, text string")
+    rows = spark.createDataFrame(list(enumerate([*texts, None, "", "alone"])), "row long, text string")
     for block in (4096, 7):
-        got = {r._row: r.group for r in near.groups(rows, block=block).collect()}
+        got = {r.row: r.group for r in near.groups(rows, block=block).collect()}
         assert len({got[i] for i in range(40)}) == 1 and got[40] == got[41] and len(set(got.values())) == 3
 
 
@@ -480,6 +507,159 @@ def test_pipeline_odd(spark, odd, none, tmp_path):
 
     spark.createDataFrame([(4, 0), (6, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "nothing of this kind stands anywhere in these texts")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    for table in (odd.drop("row", "fp", "kind", "sequence_id", "score"), none):
+    for table in (odd, none):
         table.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        for _, f in P.STAGES[:-1]:
+            docs = P.stage(f(spark, docs, str(tmp_path)), "odd")
+            assert docs.columns == table.columns and all(r[c] == 7 for r in docs.collect() for c in CLASHES) and all(r.score == 0.5 for r in (docs.collect() if table is odd else ()))
         assert P.run(spark, str(tmp_path)).count() >= (0 if table is none else 4)
+
+
+def test_secrets_many_hits(spark):
+    """A hundred thousand hits in one text, all of whose places are right, in seconds."""
+    text = " ".join(f"k{i:06d} token=value{i:06d}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    got = secrets.digest(secrets.scan(df)).first()
+    want = plain_secrets(text)
+    assert got.n_assign == 100_000 and got.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+
+
+def test_secrets_repositories(spark):
+    """One owner's value in many repositories is an example all the same."""
+    rows = [(i, "key AbCdEfGhIjKlMnOpQrStUv012345", "one") for i in range(60)] + [(99, "key ZZZZEfGhIjKlMnOpQrStUv012345", "one")]
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert got[0] == "" and got[99] == "owned:4:32"
+
+
+def test_html_by_host_counts_alone(spark):
+    """Pages without article markup or telling names: what recurs on a host goes, what does not stays; against a count per host."""
+    rows = []
+    for host in range(3):
+        for i in range(12):
+            frame = [f"<div class='c{k}'><span>host {host} box {k}</span></div>" for k in range(4)]
+            own = f"<div class='c9'><p>Story {host}-{i} that no other page of its host has.</p></div>"
+            rows.append((100 * host + i, f"http://h{host}.example/{i}", f"<html><body>{frame[0]}{frame[1]}{own}{frame[2]}{frame[3]}</body></html>"))
+    rows += [(900, "http://single.example/", rows[0][2]), (901, None, None), (902, "http://h0.example/x", "<p>long</p>" * 20_000), (903, rows[0][1], rows[0][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("page", F.lit(1)).withColumn("key", F.lit(2))
+    boxes = defaultdict(set)
+    for page, url, html in rows:
+        for box in re.findall("<div.*?</div>", html or ""):
+            boxes[url.split("/")[2], box].add(html)
+    for most in (1 << 20, 0):
+        got = {r.page_id: r for r in html_text.main_text(df, broadcast_templates=most).collect()}
+        for page, url, html in rows[:36]:
+            kept = [re.sub("<.*?>", "", b) for b in re.findall("<div.*?</div>", html) if len(boxes[url.split("/")[2], b]) < html_text.MIN_PAGES]
+            assert got[page].text == "\n".join(kept) and got[page].n_deleted >= 4
+        assert "box 3" in got[900].text and got[901].text == "" and got[902].text.count("long") == 20_000 and got[903].text == got[0].text
+
+
+def test_html_names_inside_an_article(spark):
+    html = "<article><p>One.</p><div class='social-history'>Two.</div><div class='share-buttons'>Go</div><div class='related'>Go</div></article>"
+    assert html_text.blocks(html_text.parse(html), lambda n: False) == ["One.", "Two."]
+    assert html_text.blocks(html_text.parse("<main>a</main><main>b<main>c</main></main>"), lambda n: False) == ["a", "b", "c"]
+
+
+def plain_lz(text):
+    """LZ78 over symbols, with sets and strings: an independent parse."""
+    words = []
+    for w in text.split():
+        words += [w[i : i + lz_fingerprint.CHUNK] for i in range(0, len(w), lz_fingerprint.CHUNK)] if max(map(len, text.split())) > lz_fingerprint.CHUNK else [w]
+    known, now, out = set(), (), set()
+    for w in words:
+        now += (w,)
+        if now not in known:
+            known.add(now)
+            out.add(now)
+            now = ()
+    return out
+
+
+def test_lz_estimates_shared_phrases(docs):
+    """The likeness of signatures follows the share of common phrases of an independent parse."""
+    own = sorted(docs)[:60]
+    off = []
+    for a, b in zip(own, own[1:]):
+        x = docs[a]
+        y = lz_fingerprint.edited(x, docs[b])
+        px, py = plain_lz(x), plain_lz(y)
+        if len(px) > 30:
+            assert len(lz_fingerprint.phrases(x)) == len(px)
+            off.append(lz_fingerprint.likeness(lz_fingerprint.signature(x), lz_fingerprint.signature(y)) - len(px & py) / len(px | py))
+    assert len(off) > 20 and abs(np.mean(off)) < 0.04 and np.max(np.abs(off)) < 0.3
+
+
+def test_lz_hot_ids(spark):
+    """An id that holds most rows is cut by the hash of its texts; order and results stay."""
+    rows = [(i % 3 if i % 4 else None, f"text number {i % 50} " * 3) for i in range(400)]
+    got = lz_fingerprint.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, xxhash_of(r[1]), r[1]), reverse=True)
+    want = sorted((repr(d), hashlib.sha256(lz_fingerprint.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (d, t) in enumerate(order))
+    assert sorted((repr(r.doc_id), r.edited_sha256) for r in got) == want
+
+
+def xxhash_of(text):
+    """Spark's xxhash64 of a string, signed."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_decontamination_against_all_pairs(spark, docs):
+    """What retrieval and verification give against verifying every pair, in one part and in many."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = {r.item_id: r.text for r in bench.collect()}
+    far = [(10_000 + i, " ".join(ws[: (len(ws) + 1) // 2] + ["apart"] * 400 + ws[(len(ws) + 1) // 2 :])) for i, t in items.items() if len(ws := decontaminate.words_of(t)) >= 20]
+    rows = [*docs.items(), *far, (None, items[min(items)])]
+    want = set()
+    for d, t in rows:
+        ws = decontaminate.words_of(t)
+        grams = {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+        want |= {(d, i) for i, b in items.items() if decontaminate.verified(decontaminate.words_of(b), grams, ws, decontaminate.OVERLAP)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x"))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == want and len(far) > 5
+    clean = {r.doc_id for r in decontaminate.without_contaminated(df, bench).collect()}
+    assert clean == {d for d, _ in rows} - {d for d, _ in want}
+    most = decontaminate.PART_ITEMS
+    decontaminate.PART_ITEMS = 15
+    try:
+        assert decontaminate.Parts(bench).count > 2
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == want
+        left = decontaminate.without_contaminated(df, bench)
+        assert left.columns == df.columns and {r.doc_id for r in left.collect()} == clean
+    finally:
+        decontaminate.PART_ITEMS = most
+
+
+def test_packing_deals_repeated_rows(spark):
+    """Rows of one id, or of none, go to many groups."""
+    df = spark.createDataFrame([(None, "the same")] * 600 + [(1, f"text {i}") for i in range(600)], "doc_id long, text string")
+    rows = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), group_docs=100).collect()
+    groups = defaultdict(int)
+    for r in rows:
+        groups[r.sequence_id >> 24] += 1
+    assert len(rows) == 1200 and len(groups) == 12 and max(groups.values()) < 200
+
+
+def test_special_strings_are_text():
+    """Strings that name a vocabulary's special tokens are encoded as the library encodes plain text."""
+    from quadloom.llm.tokens import Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    import pyarrow as pa
+
+    plain = Tokenizer.from_file(path)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z"):
+        assert Encoder(path).encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_joined_and_dense_blocks():
+    """Thousands of prints within the radius of each other: one component, few links, bounded memory."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, dtype=np.uint64)
+    prints = {int(base) ^ (1 << int(a)) ^ (1 << int(b)) for a in range(64) for b in range(a)}
+    import pyarrow as pa
+
+    fp = np.array(sorted(prints), np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(fp), np.int64)), pa.array(np.full(len(fp), 2, np.int32)), pa.array(fp.view(np.int64))], ["shard", "side", "fp"])
+    out = pa.Table.from_batches(list(simhash._links(4)([batch])))
+    assert len(out) == len(fp) - 1
