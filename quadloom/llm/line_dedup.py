@@ -22,11 +22,13 @@ How they are found:
   passage is less than ``WINDOW + GRAM`` characters from its start and the last as
   near to its end, so any common passage of 100 + 2 * 64 + 8 = 236 characters holds
   one run whole, and most of ``MIN_CHARS`` do.
-* Every run that at least two documents have, whatever its frequency, is looked
-  up in the first document that has it. Rarity is used by direction, not by a
-  limit: the later document is paired with one first document for each run, so a
-  line that millions have makes a star round its first document and never all
-  pairs, and none has to be left out for being frequent.
+* Every run that at least two documents have is looked up in the first document
+  that has it. Runs of pieces, and runs of lines that at most ``RARE`` documents
+  have, pair a later document with that first one: a star, never all pairs.
+* Runs of lines that more documents have need no alignment, as whole lines have no
+  ends to grow: their places were noted with their hashes, and they go from every
+  later document by a join. So no frequent line is left out, and none brings
+  documents together that have nothing else in common.
 * Each pair is aligned by patience diff: units that are unique on both sides and
   in the same order are anchors (found as a longest increasing subsequence),
   grown over equal neighbours, and where an end is no line end, over the equal
@@ -57,7 +59,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, free_name, ship
 
-MIN_CHARS, LINE_CHARS, FAN_OUT, SALTS, BITMAP_BITS = 180, 24, 64, 32, 1 << 26
+MIN_CHARS, LINE_CHARS, RARE, FAN_OUT, SALTS, BITMAP_BITS = 180, 24, 4, 64, 32, 1 << 26
 WINDOW, GRAM = 64, 8
 #: Texts of about this many characters are cut together.
 STEP = 1 << 19
@@ -68,7 +70,6 @@ _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 #: Random values for the hashes of spans and, of 32 bits, for the places of cuts.
 _OF_CHAR = np.random.default_rng(5).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CUT_OF_CHAR = (_OF_CHAR >> np.uint64(32)).astype(np.uint32)
-_LINE = np.uint64(0x6C696E65)
 _power = {}
 
 
@@ -232,24 +233,43 @@ def _parts(texts: pa.Array):
         yield at, out
 
 
+LISTS = "doc long, text_hash long, runs array<long>, line_runs array<long>, line_starts array<int>, line_ends array<int>, fresh array<boolean>"
+
+
 def _run_lists(least: int, least_line: int):
-    """Rows (doc, runs) of (doc, text): the hashes of each document's runs of both kinds, each once."""
+    """Rows of LISTS of (doc, text_hash, text): the hashes of a text's runs of pieces, each once, and all its runs of lines
+    with the characters that they cover; ``fresh`` marks the first of equal ones."""
+
+    def lists(of: np.ndarray, n: int, *columns):
+        at = pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n)))).astype(np.int32))
+        return [pa.ListArray.from_arrays(at, pa.array(c)) for c in columns]
+
+    def new(of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order by text and hash, and where in it a pair is the first of its kind."""
+        order = np.lexsort((h, of))
+        of, h = of[order], h[order]
+        return order, np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))[: len(h)]
 
     def work(batches):
         for batch in batches:
-            for at, lows in _parts(batch.column(1)):
-                own = Units(lows)
+            for at, lows in _parts(batch.column(2)):
+                own, n = Units(lows), len(lows)
                 start, _, h = runs(own.pieces.hashes, own.pieces.sizes, run_chars(least), own.pieces.last)
-                line, _, g = runs(own.lines.hashes, own.lines.sizes, least_line, own.lines.last)
-                of = np.concatenate((own.pieces.of[start], own.lines.of[line]))
-                h = np.concatenate((h, _mix(g.view(np.uint64) + _LINE).view(np.int64)))
-                order = np.lexsort((h, of))
-                of, h = of[order], h[order]
-                new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))[: len(h)]
-                of, h = of[new], h[new]
-                docs, first = np.unique(of, return_index=True)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), pa.array(h))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs + at)), lists], ["doc", "runs"])
+                of = own.pieces.of[start]
+                order, first = new(of, h)
+                line, end, g = runs(own.lines.hashes, own.lines.sizes, least_line, own.lines.last)
+                line_of = own.lines.of[line]
+                line_order, line_first = new(line_of, g)
+                fresh = np.zeros(len(g), bool)
+                fresh[line_order[line_first]] = True
+                begin = own.at[line_of]
+                begins = np.append(own.lines.starts, own.at[-1])
+                till = np.minimum(begins[end], own.at[line_of + 1] - 1) - begin
+                columns = [
+                    *lists(of[order][first], n, h[order][first]),
+                    *lists(line_of, n, g, (begins[line] - begin).astype(np.int32), till.astype(np.int32), fresh),
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), *columns], [x.split()[0] for x in LISTS.split(", ")])
 
     return work
 
@@ -437,20 +457,27 @@ def _doc():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
 
 
-def deletions(docs: DataFrame, scratch: Scratch, least: int = MIN_CHARS, least_line: int = LINE_CHARS, fan_out: int = FAN_OUT) -> DataFrame:
+def deletions(docs: DataFrame, scratch: Scratch, least: int = MIN_CHARS, least_line: int = LINE_CHARS, fan_out: int = FAN_OUT, rare: int = RARE) -> DataFrame:
     """(doc, text_hash, source, start, end): ranges of code points to delete from each text, and the earlier document that has them.
 
     A document is known by its id and the hash of its text.
     """
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(_doc().alias("doc"), "text").where(F.length("text") >= min(least, least_line))
-    lists = scratch.stage(texts.mapInArrow(_run_lists(least, least_line), "doc long, runs array<long>"), "runs")
+    texts = docs.select(_doc().alias("doc"), F.xxhash64("text").alias("text_hash"), "text").where(F.length("text") >= min(least, least_line))
+    lists = scratch.stage(texts.mapInArrow(_run_lists(least, least_line), LISTS), "runs")
     seen = lists.select("doc", F.explode("runs").alias("run")).groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     shared = scratch.stage(seen.where("first < last").select("run", "first"), "shared-runs")
     bitmap = spark.sparkContext.broadcast(_bitmap(shared))
-    mine = lists.mapInArrow(_shared_runs(bitmap), "run long, doc long")
-    pairs = scratch.stage(mine.join(shared.hint("merge"), "run").where("first < doc").select("first", "doc").distinct(), "pairs")
+    mine = lists.select("doc", "runs").mapInArrow(_shared_runs(bitmap), "run long, doc long")
+    found = mine.join(shared.hint("merge"), "run").where("first < doc").select("first", "doc")
+    lines = lists.select("doc", "text_hash", F.explode(F.arrays_zip("line_runs", "line_starts", "line_ends", "fresh")).alias("x"))
+    lines = lines.select("doc", "text_hash", F.col("x.line_runs").alias("run"), F.col("x.line_starts").alias("start"), F.col("x.line_ends").alias("end"), F.col("x.fresh").alias("fresh"))
+    seen = lines.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count_if("fresh").alias("n"))
+    shared = scratch.stage(seen.where("first < last").select("run", "first", (F.col("n") <= rare).alias("rare")), "shared-lines")
+    lines = scratch.stage(lines.join(shared.hint("merge"), "run").where("first < doc").select("first", "doc", "text_hash", "start", "end", "rare"), "found-lines")
+    pairs = scratch.stage(found.union(lines.where("rare").select("first", "doc")).distinct(), "pairs")
+    common_lines = lines.where("not rare").select("doc", "text_hash", F.col("first").alias("source"), "start", "end")
     # each first document meets its partners in cells of about fan_out; those of many partners are joined by salted keys
     cells = scratch.stage(pairs.groupBy("first").agg(F.ceil(F.count("*") / fan_out).cast("int").alias("cells")), "cells")
     salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS))
@@ -460,9 +487,9 @@ def deletions(docs: DataFrame, scratch: Scratch, least: int = MIN_CHARS, least_l
     firsts = cells.select("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - F.lit(1).cast("long"))).alias("k")).withColumn("cell", F.xxhash64("first", "k"))
     asked = firsts.select(F.col("first").alias("doc"), "cell", F.lit(0).alias("side"), "first").union(placed.select("doc", "cell", F.lit(1).alias("side"), "first"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = asked.join(texts.hint("merge"), "doc").select("cell", "side", "first", "doc", F.xxhash64("text").alias("text_hash"), "text")
+    both = asked.join(texts.hint("merge"), "doc").select("cell", "side", "first", "doc", "text_hash", "text")
     both = both.repartition(n, "cell").sortWithinPartitions("cell", "side")
-    return both.mapInArrow(_aligned(least, least_line), "doc long, text_hash long, source long, start int, end int")
+    return both.mapInArrow(_aligned(least, least_line), "doc long, text_hash long, source long, start int, end int").union(common_lines)
 
 
 def _kept(batches):
@@ -481,10 +508,10 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, kind), batch.column(3)], ["doc", "text_hash", "kept", "sources"])
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, least_line: int = LINE_CHARS, fan_out: int = FAN_OUT, sources: str = "sources", deleted: str = "chars_deleted") -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, least_line: int = LINE_CHARS, fan_out: int = FAN_OUT, rare: int = RARE, sources: str = "sources", deleted: str = "chars_deleted") -> DataFrame:
     """``docs`` with ``text`` shortened and two further columns: ``sources`` (doc_ids of the earlier documents, ascending) and ``chars_deleted``."""
     with Scratch(docs.sparkSession) as scratch:
-        gone = deletions(docs.select("doc_id", "text"), scratch, least, least_line, fan_out)
+        gone = deletions(docs.select("doc_id", "text"), scratch, least, least_line, fan_out, rare)
         gone = gone.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("ranges"), F.array_sort(F.collect_set("source")).alias("sources"))
         gone = scratch.keep(gone.mapInArrow(_kept, "doc long, text_hash long, kept array<struct<at:int,n:int>>, sources array<long>"), "deletions")
     own = [c for c in docs.columns if c.lower() not in (sources.lower(), deleted.lower())]

@@ -237,8 +237,8 @@ def test_whole_lines(spark):
     boiler = "x" * 100 + " a line of 149 characters that fifty documents have "[:49]
     rows = [(i, "\n".join([*(lines[k] for k in rng.integers(0, 300, 5)), boiler, f"own line of document {i}"])) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for least in (line_dedup.LINE_CHARS, 1):
-        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, least_line=least, fan_out=3).collect()}
+    for least, rare in ((line_dedup.LINE_CHARS, line_dedup.RARE), (1, 0), (1, 1000)):
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, least_line=least, fan_out=3, rare=rare).collect()}
         before: set[str] = set()
         for i, text in rows:
             own = text.split("\n")
