@@ -196,6 +196,14 @@ class Pieces:
         self.low, begin = low, units.at[i]
         self.hashes, self.sizes, self.at = units.pieces.text(i, begin, len(low))
         self.line_hashes, self.line_sizes, self.line_at = units.lines.text(i, begin, len(low))
+        self.known: dict = {}
+
+    def runs(self, lines: bool, least: int):
+        """(start, end, hash) of the runs of pieces or lines, and where each hash begins first; worked out once."""
+        if (lines, least) not in self.known:
+            start, end, h = runs(*((self.line_hashes, self.line_sizes) if lines else (self.hashes, self.sizes)), least)
+            self.known[lines, least] = start, end, h, dict(zip(h[::-1].tolist(), start[::-1].tolist()))
+        return self.known[lines, least]
 
 
 def pieces(text: str) -> Pieces:
@@ -340,18 +348,18 @@ def patience_blocks(a: list[int], b: list[int], a_free: list[bool], b_free: list
     return out
 
 
-def align(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(start in a, start in b, units) of what stands in both, each of ``least`` characters or more.
+def align(one: Pieces, other: Pieces, lines: bool, least: int) -> list[tuple[int, int, int]]:
+    """(start in one, start in the other, units) of what stands in both, each of ``least`` characters or more.
 
     One pass of patience diff; then each run that is left by itself, so the work
     grows with the units and not with how often they repeat.
     """
-    sa, ea, ha = runs(a, a_sizes, least)
-    sb, eb, hb = runs(b, b_sizes, least)
-    found = np.isin(hb, ha)
-    if not found.any():
+    *_, where = one.runs(lines, least)
+    starts, ends, hashes, _ = other.runs(lines, least)
+    found = [(s, e, h) for s, e, h in zip(starts.tolist(), ends.tolist(), hashes.tolist()) if h in where]
+    if not found:
         return []
-    where = dict(zip(ha[::-1].tolist(), sa[::-1].tolist()))
+    a, (b, b_sizes) = one.line_hashes if lines else one.hashes, (other.line_hashes, other.line_sizes) if lines else (other.hashes, other.sizes)
     x, y, size = a.tolist(), b.tolist(), np.concatenate(([0], np.cumsum(b_sizes))).tolist()
     b_free = [True] * len(y)
     out = []
@@ -359,7 +367,7 @@ def align(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray
         if size[j + n] - size[j] >= least:
             out.append((i, j, n))
             b_free[j : j + n] = [False] * n
-    for s, e, h in zip(sb[found].tolist(), eb[found].tolist(), hb[found].tolist()):
+    for s, e, h in found:
         if b_free[s] and all(b_free[s:e]):
             # nothing unique to hold on to: the run by itself, grown both ways
             i, j, n = where[h], s, e - s
@@ -401,11 +409,11 @@ def common(a: Pieces, b: Pieces, i: int, j: int, n: int) -> tuple[int, int]:
 def shared_ranges(a: Pieces, b: Pieces, least: int = MIN_CHARS, least_line: int = LINE_CHARS) -> list[tuple[int, int]]:
     """Ranges of characters of ``b`` that stand in ``a`` as well: passages of ``least`` or more, whole lines of ``least_line`` or more."""
     out = set()
-    for i, j, n in align(a.hashes, a.sizes, b.hashes, b.sizes, run_chars(least)):
+    for i, j, n in align(a, b, False, run_chars(least)):
         s, e = common(a, b, i, j, n)
         if len(b.low[s:e].strip()) >= least:
             out.add((s, e))
-    for _, j, n in align(a.line_hashes, a.line_sizes, b.line_hashes, b.line_sizes, least_line):
+    for _, j, n in align(a, b, True, least_line):
         out.add((b.line_at[j], b.line_at[j + n]))
     return sorted(out)
 
