@@ -5,8 +5,12 @@
 * For every variable the planner knows whether it is certainly bound. Shared
   certain variables join by plain equality; only those that may be unbound take
   the null-tolerant condition that the query language asks for.
-* Path closures run as semi-naive joins that write each round to the shared
-  checkpoint folder, so their lineage stays short.
+* Path closures double the length of the paths they know with each round, so a
+  chain of n links takes log2(n) rounds; where an end is given, only what that
+  end reaches is kept. Rounds are written to the shared checkpoint folder, so
+  their lineage stays short.
+* Tables are read as stars only where no stored quad or described graph can add
+  to or hide their triples.
 """
 
 from __future__ import annotations
@@ -22,8 +26,6 @@ from ..functions import terms as T
 from .algebra import RDF_TYPE, XSD, Iri, Lit, Op, Path, Quoted, Query, Triple, Var, variables
 from .dataset import NUMERIC, Dataset
 
-MAX_ROUNDS = 200
-
 
 class Unsupported(ValueError):
     pass
@@ -100,7 +102,7 @@ class Planner:
         stars: dict = {}
         rest = []
         for t in op.args:
-            plain = isinstance(t.p, Iri) and isinstance(t.s, (Var, Iri)) and not isinstance(t.o, Quoted) and graph is None and self.data.tables
+            plain = isinstance(t.p, Iri) and isinstance(t.s, (Var, Iri)) and not isinstance(t.o, Quoted) and graph is None and self.data.tables and self.data.quads is None and not self.data.catalog
             known = plain and (t.p.value in self.data.predicates or t.p.value == RDF_TYPE and isinstance(t.o, Iri) and t.o.value.startswith(self.data.base) and t.o.value[len(self.data.base):] in self.data.tables)
             if known:
                 table = self.data.predicates[t.p.value][0] if t.p.value != RDF_TYPE else t.o.value[len(self.data.base):]
@@ -231,16 +233,48 @@ class Planner:
         return rows.select(F.col("s").alias("n")).union(rows.select("o")).distinct()
 
     def closure(self, base: DataFrame) -> DataFrame:
-        base = self.cut(base)
-        known = fresh = base
-        step = base.select(F.col("s").alias("o"), F.col("o").alias("t"))
-        for _ in range(MAX_ROUNDS):
-            longer = fresh.join(step, "o").select("s", F.col("t").alias("o")).distinct()
-            fresh = self.cut(longer.join(known, ["s", "o"], "left_anti"))
-            if fresh.isEmpty():
+        """All pairs: after each round, those of paths twice as long."""
+        known = self.cut(base)
+        n = known.count()
+        while True:
+            step = known.select(F.col("s").alias("o"), F.col("o").alias("t"))
+            known = self.cut(known.union(known.join(step, "o").select("s", F.col("t").alias("o"))).distinct())
+            before, n = n, known.count()
+            if n == before:
                 return known
-            known = self.cut(known.union(fresh))
-        raise RuntimeError("a path closure did not end")
+
+    def reach(self, base: DataFrame, start: str) -> DataFrame:
+        """(n): what paths of any length, zero included, reach from one node. A round looks twice as far as the one before;
+        when it finds nothing new, there is no node at exactly that distance and so none beyond."""
+        found = self.spark.range(1).select(F.lit(start).alias("n"))
+        step, n = self.cut(base.distinct()), 1
+        while True:
+            further = found.join(step, F.col("n") == F.col("s")).select(F.col("o").alias("n"))
+            found = self.cut(found.union(further).distinct())
+            before, n = n, found.count()
+            if n == before:
+                return found
+            other = step.select(F.col("s").alias("o"), F.col("o").alias("t"))
+            step = self.cut(step.join(other, "o").select("s", F.col("t").alias("o")).distinct())
+
+    def bound_path(self, t: Triple, graph) -> Rel:
+        """A repeated path of which an end is given; a path of no length reaches a term that the graph does not have."""
+        e = self.edges(t.p.args[0], graph)
+        base = e.df.select(self.to(e, ".s", "term").alias("s"), self.to(e, ".o", "term").alias("o"))
+        near, far = (t.s, t.o) if not isinstance(t.s, Var) else (t.o, t.s)
+        if near is t.o:
+            base = base.select(F.col("o").alias("s"), F.col("s").alias("o"))
+        start = const_text(near)
+        if t.p.kind == "opt":
+            out = base.where(F.col("s") == start).select(F.col("o").alias("n")).union(self.spark.range(1).select(F.lit(start).alias("n")))
+        else:
+            out = self.reach(base, start)
+            if t.p.kind == "plus":
+                out = base.join(out, F.col("s") == F.col("n"), "left_semi").select(F.col("o").alias("n"))
+        out = out.distinct()
+        if isinstance(far, Var):
+            return Rel(out.select(F.col("n").alias(cid(far.name))), {far.name: Info("term")})
+        return Rel(out.where(F.col("n") == const_text(far)).select(F.lit(1).alias("_")), {})
 
     def cut(self, df: DataFrame) -> DataFrame:
         context = self.spark.sparkContext
@@ -248,6 +282,8 @@ class Planner:
             import tempfile
 
             given = self.spark.conf.get("spark.checkpoint.dir", None)
+            if given is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             context.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="quadloom-"))
         return df.checkpoint()
 
@@ -259,6 +295,8 @@ class Planner:
             return self.keep(r, [n for n in r.vars if not n.startswith(".m")])
         if t.p.kind == "inv":
             return self._bgp(Op("bgp", (Triple(t.o, t.p.args[0], t.s),)), graph)
+        if t.p.kind in ("star", "plus", "opt") and not (isinstance(t.s, Var) and isinstance(t.o, Var)):
+            return self.bound_path(t, graph)
         e = self.edges(t.p, graph)
         rel = self.rename(e, {".s": ".ps", ".o": ".po"})
         for term, name in ((t.s, ".ps"), (t.o, ".po")):
@@ -421,6 +459,13 @@ class Planner:
         if not isinstance(e, tuple) or not e:
             return rel, e
         if e[0] == "exists":
+            if e[1].kind == "filter" and not set(self.mentions(e[1].args[0])) <= set(variables(e[1].inputs[0])):
+                # the pattern's filter looks at outer variables: rows are numbered, and those that pass are marked
+                row, name = f".r{next(self.fresh)}", f".x{next(self.fresh)}"
+                numbered = Rel(self.cut(rel.df.withColumn(cid(row), F.monotonically_increasing_id())), rel.vars | {row: Info("integer")})
+                passed = self.exists(numbered, e[1], "left_semi", graph).df.select(F.col(cid(row)).alias("_row")).withColumn(cid(name), F.lit(True))
+                df = numbered.df.join(passed, numbered.df[cid(row)] == passed["_row"], "left").drop("_row", cid(row))
+                return Rel(df, rel.vars | {name: Info("boolean", False)}), ("call", "COALESCE", (("var", name), ("term", Lit("false", XSD + "boolean"))))
             inner = self.plan(e[1], graph)
             shared = [n for n in rel.vars if n in inner.vars]
             name = f".x{next(self.fresh)}"
@@ -528,19 +573,21 @@ class Planner:
             return c, "integer", True
         c, kind = self.expr(e, scope)
         if name in ("SUM", "AVG"):
+            wrong = F.lit(False)  # one value that is no number leaves the whole unbound
             if kind == "term":
+                wrong = F.count_if(c.isNotNull() & T.number(c).isNull()) > 0
                 c, kind = T.number(c), "double"
             if kind not in NUMERIC:
-                return F.lit(None).cast("double"), "double", False
+                return F.when(F.count(c) == 0, F.lit(0.0)), "double", False
             f = (F.sum_distinct if distinct else F.sum) if name == "SUM" else (lambda x: F.sum_distinct(x) / F.count_distinct(x) if distinct else F.avg(x))
             kind = kind if name == "SUM" else "double"
-            return F.coalesce(f(c), F.lit(0).cast(_CASTS[kind])).cast(_CASTS[kind]), kind, True
+            return F.when(~wrong, F.coalesce(f(c), F.lit(0).cast(_CASTS[kind])).cast(_CASTS[kind])), kind, False
         if name in ("MIN", "SAMPLE"):
             return F.min(c), kind, False
         if name == "MAX":
             return F.max(c), kind, False
         text = self.string(c, kind)
-        return (F.listagg_distinct(text, F.lit(sep)) if distinct else F.array_join(F.array_sort(F.collect_list(text)), sep)), "string", False
+        return (F.array_join(F.array_sort(F.collect_set(text) if distinct else F.collect_list(text)), sep)), "string", False
 
     # expressions
     def truth(self, x: tuple[Column, str]) -> Column:

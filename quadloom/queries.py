@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_history
 from .functions.extract import split_values
 from .operators import history, shapes, verify
 from .plans.dataset import BASE, Dataset, star_schema
@@ -365,9 +366,8 @@ def doc_line_dedup(spark, sf_dir):
 
 
 def spine_export(spark, sf_dir):
-    data = star_schema(spark, sf_dir)
-    data = Dataset(spark, {k: data.tables[k] for k in ("region", "nation")})
-    return spine(data.triples(), {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "d": BASE})
+    graphs = [f"{BASE}graph/{k}" for k in ("region", "nation", "supplier")]
+    return spine(star_schema(spark, sf_dir).triples(), {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "d": BASE}, graphs=graphs)
 
 
 def _functions():
@@ -402,13 +402,15 @@ _SQL = {
     "flatten_json": "SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || json_keys(props)[1]) AS value FROM events",
     "doc_line_dedup": "SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''",
     "spine_export": """SELECT DISTINCT * FROM (SELECT 'd:region/' || r_regionkey AS s, 'rdf:type' AS p, 'd:region' AS o FROM region UNION ALL SELECT 'd:region/' || r_regionkey, 'd:r_name', '"' || r_name || '"' FROM region UNION ALL SELECT 'd:region/' || r_regionkey, 'd:r_regionkey', '"' || r_regionkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>' FROM region
-    UNION ALL SELECT 'd:nation/' || n_nationkey, 'rdf:type', 'd:nation' FROM nation UNION ALL SELECT 'd:nation/' || n_nationkey, 'd:n_name', '"' || n_name || '"' FROM nation UNION ALL SELECT 'd:nation/' || n_nationkey, 'd:n_nationkey', '"' || n_nationkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>' FROM nation UNION ALL SELECT 'd:nation/' || n_nationkey, 'd:n_regionkey', 'd:region/' || n_regionkey FROM nation)""",
+    UNION ALL SELECT 'd:nation/' || n_nationkey, 'rdf:type', 'd:nation' FROM nation UNION ALL SELECT 'd:nation/' || n_nationkey, 'd:n_name', '"' || n_name || '"' FROM nation UNION ALL SELECT 'd:nation/' || n_nationkey, 'd:n_nationkey', '"' || n_nationkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>' FROM nation UNION ALL SELECT 'd:nation/' || n_nationkey, 'd:n_regionkey', 'd:region/' || n_regionkey FROM nation
+    UNION ALL SELECT 'd:supplier/' || s_suppkey, 'rdf:type', 'd:supplier' FROM supplier UNION ALL SELECT 'd:supplier/' || s_suppkey, 'd:s_name', '"' || s_name || '"' FROM supplier UNION ALL SELECT 'd:supplier/' || s_suppkey, 'd:s_suppkey', '"' || s_suppkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>' FROM supplier
+    UNION ALL SELECT 'd:supplier/' || s_suppkey, 'd:s_nationkey', 'd:nation/' || s_nationkey FROM supplier UNION ALL SELECT 'd:supplier/' || s_suppkey, 'd:s_acctbal', '"' || s_acctbal || '"^^<http://www.w3.org/2001/XMLSchema#double>' FROM supplier)""",
 }
 
 
 def queries() -> dict:
-    return {name: _run(name) for name in _TEXT} | {f.__name__: f for f in _functions()}
+    return {name: _run(name) for name in _TEXT} | {f.__name__: f for f in _functions()} | queries_history.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _TEXT.items()} | _SQL
+    return {name: sql for name, (_, sql) in _TEXT.items()} | _SQL | queries_history.oracle_sql()

@@ -10,5 +10,5 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """(path, content): ``.md`` and ``.txt`` files; not those below a dot folder, nor templates (``__*``)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,txt}").load(root)
     at = F.position(F.lit(root.rstrip("/").split("://")[-1]), F.col("path")) + len(root.rstrip("/").split("://")[-1]) + 1
-    rows = files.select(F.substring("path", at, F.lit(1 << 20)).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    rows = files.select(F.substring("path", at, F.length("path")).alias("path"), F.decode("content", "UTF-8").alias("content"))
     return rows.where(~F.col("path").rlike(r"(^|/)\.") & ~F.col("path").rlike(r"(^|/)__[^/]*$"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,20 +42,40 @@ def results_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*(F.when(F.col(c).isNotNull(), term_json(c)).alias(c) for c in rows.columns))).alias("binding"))
 
 
+def results_document(rows: DataFrame, is_ask: bool = False) -> str:
+    """The whole results document of a result that fits the driver: head, and results or a boolean."""
+    if is_ask:
+        return json.dumps({"head": {}, "boolean": bool(rows.first()[0])})
+    bindings = ",".join(r.binding for r in results_json(rows).toLocalIterator())
+    return '{"head":{"vars":' + json.dumps(rows.columns) + '},"results":{"bindings":[' + bindings + "]}}"
+
+
+def table_text(rows: DataFrame, limit: int = 1000) -> str:
+    """A plain table of at most ``limit`` rows, columns as wide as their widest cell."""
+    found = [[("" if v is None else str(v)) for v in r] for r in rows.limit(limit).collect()]
+    if not found:
+        return "(No results found)"
+    width = [max(len(c), *(len(r[i]) for r in found)) for i, c in enumerate(rows.columns)]
+    line = lambda cells: " | ".join(c.ljust(w) for c, w in zip(cells, width)).rstrip()
+    return "\n".join([line(rows.columns), "-+-".join("-" * w for w in width), *map(line, found)])
+
+
 def shorten(term, prefixes: dict[str, str], base: str = ""):
     """A name by the longest namespace that it lies in, else relative to the base."""
     iri = F.regexp_replace(term, "^<|>$", "")
     out = F.when(F.lit(False), F.lit(""))
     for name, ns in sorted(prefixes.items(), key=lambda x: (-len(x[1]), x[0])):
-        local = F.substring(iri, F.lit(len(ns) + 1), F.lit(1 << 20))
+        local = F.substring(iri, F.lit(len(ns) + 1), F.length(iri))
         out = out.when(T.is_iri(term) & iri.startswith(ns), F.concat(F.lit(name + ":"), local))
     if base:
-        out = out.when(T.is_iri(term) & iri.startswith(base), F.concat(F.lit("<"), F.substring(iri, F.lit(len(base) + 1), F.lit(1 << 20)), F.lit(">")))
+        out = out.when(T.is_iri(term) & iri.startswith(base), F.concat(F.lit("<"), F.substring(iri, F.lit(len(base) + 1), F.length(iri)), F.lit(">")))
     return out.otherwise(term)
 
 
-def spine(quads: DataFrame, prefixes: dict[str, str], base: str = "") -> DataFrame:
-    """(s, p, o), shortened, without blank nodes and triple terms, tabs escaped, sorted, each row once."""
+def spine(quads: DataFrame, prefixes: dict[str, str], base: str = "", graphs: list[str] | None = None) -> DataFrame:
+    """(s, p, o), shortened, without blank nodes and triple terms, tabs escaped, sorted, each row once; ``graphs`` limits the export."""
+    if graphs is not None:
+        quads = quads.where(F.col("g").isin([f"<{g}>" for g in graphs]))
     named = quads.where(~T.is_blank(F.col("s")) & ~T.is_blank(F.col("o")) & ~T.is_triple(F.col("o")))
     cells = [F.replace(shorten(F.col(c), prefixes, base), F.lit("\t"), F.lit("\\t")).alias(c) for c in ("s", "p", "o")]
     return named.select(*cells).distinct().orderBy("s", "p", "o")
