@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import yaml
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workers import ship
+
 
 class DuplicateKeys(ValueError):
     pass
@@ -125,21 +128,28 @@ def normalize_path(target: str, folder: str = "") -> str | None:
     return "/".join(parts) if "." in parts[-1] else "/".join(parts) + ".md"
 
 
-def links(body: str, path: str, exists=lambda p: True) -> list[tuple[str, str]]:
-    """(operator or key, target): linksTo for documents that exist, md.externalLink, else md.unresolvedLink."""
-    out = []
+def link_targets(body: str, path: str) -> list[tuple[bool, str | None, str]]:
+    """(external, path from the root, target as written) of each link, in the order of the text, autolinks last."""
+    out: list[tuple[bool, str | None, str]] = []
     text = without_code(body)
     for m in _LINK.finditer(text):
         target = m[1] if m[1] is not None else m[2]
         if re.match(r"(?i)https?://", target):
+            out.append((True, None, target))
+        elif target := percent_decode(target.partition("#")[0]):
+            out.append((False, normalize_path(target, path.rpartition("/")[0]), target))
+    return out + [(True, None, m[1]) for m in _AUTO.finditer(text)]
+
+
+def links(body: str, path: str, exists=lambda p: True) -> list[tuple[str, str]]:
+    """(operator or key, target): linksTo for documents that exist, md.externalLink, else md.unresolvedLink."""
+    out = []
+    for external, found, target in link_targets(body, path):
+        if external:
             out.append(("md.externalLink", target))
-            continue
-        target = percent_decode(target.partition("#")[0])
-        if not target:
-            continue
-        found = normalize_path(target, path.rpartition("/")[0])
-        out.append(("linksTo", found) if found and exists(found) else ("md.unresolvedLink", target))
-    return out + [("md.externalLink", m[1]) for m in _AUTO.finditer(text)]
+        else:
+            out.append(("linksTo", found) if found and exists(found) else ("md.unresolvedLink", target))
+    return out
 
 
 def first_fence(body: str) -> str | None:
@@ -159,23 +169,40 @@ def split_values(value: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def facts(docs):
-    """mapInPandas over (path, content): rows (path, subject, op, object, error)."""
+def facts(docs: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """(path, subject, op, object, error) of documents (path, content), null content being empty.
 
-    def run(frames):
-        import pandas as pd
+    Internal links are linksTo where ``paths`` (path) has their target, else md.unresolvedLink
+    with the target as written; without ``paths`` no target is missing. The paths are joined, so their number is free.
+    """
 
+    def run(frames):
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"]):
                 front, body = split_frontmatter(content or "")
                 try:
                     for k, v in flatten(parse_frontmatter(front)) if front else []:
-                        rows.append((path, k, "hasValue", v, None))
+                        rows.append((path, k, "hasValue", v, None, None))
                 except (DuplicateKeys, yaml.YAMLError) as e:
-                    rows.append((path, None, None, None, str(e).splitlines()[0]))
-                for op, target in links(body, path):
-                    rows.append((path, path, "linksTo", target, None) if op == "linksTo" else (path, op, "hasValue", target, None))
-            yield pd.DataFrame(rows, columns=["path", "subject", "op", "object", "error"])
-
-    return docs.select("path", "content").mapInPandas(run, "path string, subject string, op string, object string, error string")
+                    rows.append((path, None, None, None, str(e).splitlines()[0], None))
+                for external, found, target in link_targets(body, path):
+                    if external or found is None:
+                        rows.append((path, "md.externalLink" if external else "md.unresolvedLink", "hasValue", target, None, None))
+                    else:
+                        rows.append((path, path, "linksTo", found, None, target))
+            yield pd.DataFrame(rows, columns=["path", "subject", "op", "object", "error", "written"])
+
+    ship(docs.sparkSession)
+    found = docs.select("path", "content").mapInPandas(run, "path string, subject string, op string, object string, error string, written string")
+    if paths is None:
+        return found.drop("written")
+    known = paths.select(F.col("path").alias("object"), F.lit(True).alias("there")).distinct()
+    missing = F.col("written").isNotNull() & F.col("there").isNull()
+
+    def either(a, b):
+        return F.when(missing, a).otherwise(F.col(b)).alias(b)
+
+    return found.join(known, "object", "left").select(
+        "path", either(F.lit("md.unresolvedLink"), "subject"), either(F.lit("hasValue"), "op"), either(F.col("written"), "object"), "error"
+    )

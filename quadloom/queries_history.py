@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalog, history, shapes, sidecar, verify, vocabulary
+from .functions import extract
+from .operators import catalog, history, resolver, shapes, sidecar, verify, vocabulary
 from .operators.emit import emit, resolve_value
 from .plans.dataset import BASE, Dataset, star_schema
 from .plans.engine import Engine
@@ -344,13 +345,69 @@ def emit_values(spark, sf_dir):
     return p.select("p_partkey", resolve_value(v, BASE).alias("r")).select("p_partkey", "r.kind", "r.value", "r.error")
 
 
+def _lookups(spark):
+    kit = f"{BASE}ontology/kit/"
+    declared = [("kit", "Customer", "name", f"{kit}name", f"{XSD}string", False), ("kit", "Customer", "balance", f"{BASE}ontology/root/balance", f"{XSD}decimal", False), ("kit", "Customer", "nation", f"{kit}nation", None, True), ("kit", "Customer", "seeAlso", f"{kit}seeAlso", None, True), ("kit", "Customer", "customerId", f"{kit}customerId", None, False), ("kit", "Customer", "createdDate", f"{kit}createdDate", f"{XSD}date", False), ("kit", "Nation", "population", f"{kit}population", None, False)]
+    frame = spark.createDataFrame
+    return resolver.Lookups(
+        declared=frame(declared, "kit string, class string, prop string, iri string, datatype string, is_object boolean"),
+        anywhere=frame([("kit", "remark", f"{kit}remark", None, False)], "kit string, prop string, iri string, datatype string, is_object boolean"),
+        ranges=frame([(f"{kit}nation", f"{kit}Nation"), (f"{kit}seeAlso", f"{BASE}Thing")], "iri string, range string"),
+        kits=frame([("kit", kit)], "kit string, namespace string"),
+        deprecated=frame([("kit", "segment", "name")], "kit string, prop string, replacement string"),
+        things=(f"{BASE}Thing",),
+    )
+
+
+def _customer_lines(spark, sf_dir):
+    c = _read(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("string")
+    says = lambda k, *v: F.concat(F.lit(f"{k} | hasValue | "), *v)
+    lines = F.array(
+        says("kit.customer.customerId", key),
+        says("kit.Customer.balance", F.col("c_nationkey").cast("string")),
+        says("kit.Customer.nation", F.col("c_nationkey").cast("string"), F.lit(", 7")),
+        says("kit.Customer.seeAlso", F.lit("<kit/Nation/1>, bare")),
+        says("kit.Customer.dateCreated", F.lit("2024-01-02")),
+        says("kit.Customer.remark", F.lit('a "b"')),
+        says("kit.Customer.segment", "c_mktsegment"),
+        says("kit.Customer.population", F.lit("1")),
+        says("kit.Customer.names", F.lit("n")),
+        says("kit.Nation.population", F.lit("[[x]]")),
+        says("old-links", F.lit("a/b.md, plain")),
+        says("md.externalLink", F.lit("https://x.example/")),
+    )
+    return c.select(F.concat(F.lit("doc/"), key).alias("path"), F.explode(lines).alias("line"))
+
+
+def lines_resolved(spark, sf_dir):
+    """Sidecar lines by all lookups: declared, domain-open and undeclared keys, ranges, old keys, refusals."""
+    return resolver.facts(_customer_lines(spark, sf_dir), BASE, _lookups(spark))
+
+
+def doc_facts(spark, sf_dir):
+    """Frontmatter and links of Markdown documents: every third link leads nowhere."""
+    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_name", "p_size")
+    k = F.col("k").cast("string")
+    front = F.concat(F.lit("---\nTitle: "), "p_name", F.lit("\nsize: "), F.col("p_size").cast("string"), F.lit("\nkit:\n  Part:\n    id: p"), k, F.lit("\ntags:\n  - a\n  - "), k, F.lit("\nnone: null\n---\n"))
+    to = F.when(F.col("k") % 3 == 0, F.concat(F.lit("../no%20where/"), k)).otherwise(F.concat(F.lit("/doc/"), k, F.lit("#top")))
+    body = F.concat(F.lit("See [this]("), to, F.lit(") and <https://x.example/"), k, F.lit(">.\n```\n[code](x.md)\n```\n"))
+    docs = p.select(F.concat(F.lit("doc/"), k, F.lit(".md")).alias("path"), F.concat(front, body).alias("content"))
+    return extract.facts(docs, docs.select("path")).select("path", "subject", "op", "object")
+
+
+def keys_noted(spark, sf_dir):
+    found = resolver.key_notes(_customer_lines(spark, sf_dir), BASE, _lookups(spark))
+    return found.withColumn("names", F.array_join("names", ","))
+
+
 def malformed_sidecars(spark, sf_dir):
     p = _read(spark, sf_dir, "part")
     line = F.element_at(F.array(F.lit("a | hasValue | b"), F.lit("a | b"), F.lit("a | runs | b"), F.lit(" | hasValue | b"), F.lit("a | linksTo |  ")), (F.col("p_partkey") % 5 + 1).cast("int"))
     return verify.malformed_lines(p.select("p_partkey", line.alias("line"))).select("p_partkey", "problem")
 
 
-_FUNCTIONS = (mixed_dataset, exists_in_or, path_zero_absent, path_chain, sum_error, term_functions, time_parts, grouped_count_ordered, vocabulary_classes, vocabulary_properties, vocabulary_enums, vocabulary_required, vocabulary_qualified, vocabulary_bounded, vocabulary_domain_open, vocabulary_ranges, vocabulary_compact, shape_from_vocabulary, hist_eight_commits, hist_event_quads, sidecar_lines, sidecar_resolved, sidecar_dropped, sidecar_changes, dev_horizon, now_only_facts, kit_hints, old_date_keys, date_stamps, healed_links, doc_typed, graph_descriptions, graphs_kept, quads_updated, quads_reloaded, known_stores, shared_names, now_view_full, resume_after, rewound_commits, emit_values, malformed_sidecars)
+_FUNCTIONS = (mixed_dataset, exists_in_or, path_zero_absent, path_chain, sum_error, term_functions, time_parts, grouped_count_ordered, vocabulary_classes, vocabulary_properties, vocabulary_enums, vocabulary_required, vocabulary_qualified, vocabulary_bounded, vocabulary_domain_open, vocabulary_ranges, vocabulary_compact, shape_from_vocabulary, hist_eight_commits, hist_event_quads, sidecar_lines, sidecar_resolved, sidecar_dropped, sidecar_changes, dev_horizon, now_only_facts, kit_hints, old_date_keys, date_stamps, healed_links, doc_typed, graph_descriptions, graphs_kept, quads_updated, quads_reloaded, known_stores, shared_names, now_view_full, resume_after, rewound_commits, emit_values, malformed_sidecars, lines_resolved, keys_noted, doc_facts)
 
 _KIT = f"'<{BASE}kit/"
 _OWN = f"{_KIT}Nation/' || (p_partkey % 25) || '>'"
@@ -408,6 +465,29 @@ _SQL = {
     "now_view_full": f"SELECT s, count(*) AS n FROM ({_Q}) WHERE s NOT IN (SELECT s FROM ({_Q}) WHERE o = '\"7\"') GROUP BY s",
     "resume_after": "SELECT CAST(max(event_id) AS VARCHAR) AS \"commit\", max(event_id) AS ordinal FROM events WHERE event_id % 10 < 7",
     "rewound_commits": "SELECT CAST(event_id AS VARCHAR) AS \"commit\" FROM events WHERE event_id % 10 = 9",
+    "lines_resolved": f"""WITH c AS (SELECT 'doc/' || c_custkey AS path, '<{BASE}kit/Customer/' || c_custkey || '>' AS s, '<{BASE}File/doc/' || c_custkey || '>' AS f, * FROM customer),
+        k AS (SELECT '<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>' AS a, '<{BASE}ontology/kit/' AS n),
+        r AS (SELECT path, s, n || 'customerId>' AS p, '"' || c_custkey || '"' AS o FROM c, k
+        UNION ALL SELECT path, s, '<{BASE}ontology/root/balance>', '"' || c_nationkey || '"^^<{XSD}decimal>' FROM c
+        UNION ALL SELECT path, s, n || 'nation>', '<{BASE}kit/Nation/' || unnest([c_nationkey, 7]) || '>' FROM c, k
+        UNION ALL SELECT path, s, n || 'seeAlso>', '<{BASE}kit/Nation/1>' FROM c, k
+        UNION ALL SELECT path, s, n || 'createdDate>', '"2024-01-02"^^<{XSD}date>' FROM c, k
+        UNION ALL SELECT path, s, n || 'remark>', '"a \\"b\\""' FROM c, k
+        UNION ALL SELECT path, s, n || 'segment>', '"' || c_mktsegment || '"' FROM c, k
+        UNION ALL SELECT path, s, n || 'population>', '"1"' FROM c, k
+        UNION ALL SELECT path, s, n || 'names>', '"n"' FROM c, k
+        UNION ALL SELECT path, f, '<{BASE}fm/old-links>', unnest(['<{BASE}File/a/b.md>', '"plain"']) FROM c
+        UNION ALL SELECT path, f, '<{BASE}md/externalLink>', '"https://x.example/"' FROM c
+        UNION ALL SELECT path, f, a, '<{BASE}File>' FROM c, k
+        UNION ALL SELECT path, s, a, n || 'Customer>' FROM c, k
+        UNION ALL SELECT path, s, '<{BASE}fileId>', f FROM c)
+        SELECT DISTINCT path, s, p, o, CAST(NULL AS VARCHAR) AS error FROM r UNION ALL SELECT path, NULL, NULL, NULL, unnest(['wiki link', 'no address of a thing']) FROM c""",
+    "doc_facts": """WITH d AS (SELECT 'doc/' || p_partkey || '.md' AS path, CAST(p_partkey AS VARCHAR) AS k, * FROM part)
+        SELECT path, 'Title' AS subject, 'hasValue' AS op, p_name AS "object" FROM d UNION ALL SELECT path, 'size', 'hasValue', CAST(p_size AS VARCHAR) FROM d
+        UNION ALL SELECT path, 'kit.Part.id', 'hasValue', 'p' || k FROM d UNION ALL SELECT path, 'tags', 'hasValue', unnest(['a', k]) FROM d
+        UNION ALL SELECT path, CASE WHEN p_partkey % 3 = 0 THEN 'md.unresolvedLink' ELSE path END, CASE WHEN p_partkey % 3 = 0 THEN 'hasValue' ELSE 'linksTo' END, CASE WHEN p_partkey % 3 = 0 THEN '../no where/' || k ELSE path END FROM d
+        UNION ALL SELECT path, 'md.externalLink', 'hasValue', 'https://x.example/' || k FROM d""",
+    "keys_noted": "SELECT 'kit' AS kit, 'Customer' AS class, * FROM (VALUES ('segment', 'deprecated', 'name'), ('population', 'elsewhere', 'Nation'), ('names', 'unknown', 'name')) v(prop, note, names)",
     "emit_values": f"SELECT p_partkey, CASE WHEN p_partkey % 6 < 3 THEN 'iri' ELSE 'error' END AS kind, CASE p_partkey % 6 WHEN 0 THEN '{BASE}a/' || p_partkey WHEN 1 THEN '{BASE}File/docs/' || p_partkey || '.md' WHEN 2 THEN 'https://x.example/' || p_partkey END AS value, CASE p_partkey % 6 WHEN 3 THEN 'wiki link' WHEN 4 THEN 'mention' WHEN 5 THEN 'bare name' END AS error FROM part",
     "malformed_sidecars": "SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'fields' WHEN 2 THEN 'operator' WHEN 3 THEN 'subject' ELSE 'empty link' END AS problem FROM part WHERE p_partkey % 5 > 0",
 }

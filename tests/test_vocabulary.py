@@ -4,7 +4,8 @@ import json
 
 import pytest
 
-from quadloom.operators import catalog, sidecar, vocabulary
+from quadloom.functions import extract
+from quadloom.operators import catalog, resolver, sidecar, vocabulary
 from quadloom.plans.canonical import derived_property, one_line, refuse_old_address
 from quadloom.plans.engine import PREFIXES
 from quadloom.sources.quads import results_document, table_text
@@ -75,3 +76,43 @@ def test_result_documents(spark):
     found = json.loads(results_document(rows))
     assert found["head"]["vars"] == ["x", "y"] and found["results"]["bindings"][0]["x"] == {"type": "uri", "value": "http://a/x"}
     assert table_text(rows).splitlines()[0].startswith("x ") and table_text(rows.where("false")) == "(No results found)"
+
+
+def _of(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_resolver(spark):
+    props = "kit string, class string, prop string, iri string, datatype string, is_object boolean"
+    k = resolver.Lookups(
+        _of(spark, [("k", "Note", "of", "u:ontology/k/of", None, True), ("k", "Note", "noteId", "u:ontology/k/noteId", None, False)], props),
+        _of(spark, [], "kit string, prop string, iri string, datatype string, is_object boolean"),
+        _of(spark, [("u:ontology/k/of", "nowhere")], "iri string, range string"),
+        _of(spark, [("k", "u:ontology/k/")], "kit string, namespace string"),
+        _of(spark, [], "kit string, prop string, replacement string"),
+    )
+    lines = [
+        ("a.md", "k.Note.id | hasValue | <k/Other/x y>"), ("a.md", "k.Note.noteId | hasValue | 1"), ("a.md", "k.Other.t | hasValue | v"),
+        ("b.md", "k.note.noteId | hasValue | 2"), ("b.md", "k.Note.of | hasValue | z"), ("b.md", "no line"), ("b.md", "e | hasValue |  "),
+        ("c.md", "k.Note.id | hasValue | not an address"), ("d.md", "see-link | hasValue | x/y.md"), ("d.md", "see-link | hasValue | x/y.md"), (None, "f | hasValue | 1"),
+    ]
+    df = _of(spark, lines, "path string, line string")
+    got = {tuple(r) for r in resolver.facts(df, "u:", k).collect()}
+    facts = {(s, p, o) for _, s, p, o, e in got if e is None}
+    # the address wins: the document's thing is the other class's, and the keys of its own class are about the file
+    assert ("<u:k/Other/x%20y>", "<u:ontology/k/t>", '"v"') in facts and ("<u:File/a.md>", "<u:ontology/k/noteId>", '"1"') in facts
+    assert ("<u:k/Other/x%20y>", "<u:fileId>", "<u:File/a.md>") in facts and ("<u:k/Other/x%20y>", resolver.RDF_TYPE, "<u:ontology/k/Other>") in facts
+    assert any(s.endswith("Note/2>") and p == "<u:ontology/k/noteId>" for s, p, _ in facts if s)
+    assert ("b.md", None, None, None, "range is no class") in got
+    assert ("<u:File/c.md>", resolver.RDF_TYPE, "<u:ontology/k/Note>") in facts and not any(o == "<u:File/c.md>" for *_, o in facts)
+    assert ("<u:File/d.md>", "<u:fm/see-link>", "<u:File/x/y.md>") in facts
+    assert resolver.facts(df.limit(0), "u:", k).count() == 0
+    assert {(r.prop, r.note) for r in resolver.key_notes(df, "u:", k).collect()} == {("id", "unknown"), ("t", "unknown")}
+
+
+def test_facts_of_links(spark):
+    docs = _of(spark, [("a/b.md", "[x](c.md) [y](../d) [z](../../e) ![i](c.md)"), ("a/c.md", None)], "path string, content string")
+    got = {tuple(r)[1:4] for r in extract.facts(docs, docs).collect()}
+    assert got == {("a/b.md", "linksTo", "a/c.md"), ("md.unresolvedLink", "hasValue", "../d"), ("md.unresolvedLink", "hasValue", "../../e")}
+    got = {tuple(r)[1:4] for r in extract.facts(docs, _of(spark, [("d.md",)], "path string")).collect()}
+    assert ("a/b.md", "linksTo", "d.md") in got and ("md.unresolvedLink", "hasValue", "c.md") in got
