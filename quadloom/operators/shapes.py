@@ -87,10 +87,14 @@ def validate_facts(instances: DataFrame, facts: DataFrame, constraints: list[Con
     return sums.select("key", F.explode(F.array_compact(F.array(*out))).alias("v")).select("key", "v.prop", "v.rule")
 
 
-def inherit(own: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """Constraints (class, prop, ...) of each class with those of its ancestors (class, ancestor, depth); the nearest wins."""
+def inherit(own: DataFrame, ancestors: DataFrame, same: DataFrame | None = None) -> DataFrame:
+    """Constraints (class, prop, ...) of each class with those of its ancestors (class, ancestor, depth); the nearest wins.
+
+    ``same`` (prop, set) names properties that are equivalent; one of each set is left, the nearest, then the least by name.
+    """
     reach = ancestors.select("class", "ancestor", "depth").union(own.select("class", F.col("class"), F.lit(0)).distinct())
     joined = reach.join(own.withColumnRenamed("class", "ancestor"), "ancestor")
-    w = Window.partitionBy("class", "prop").orderBy("depth", "ancestor")
-    return joined.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "ancestor", "depth")
+    joined = joined.withColumn("_set", F.lit(None).cast("string")) if same is None else joined.join(same.select("prop", F.col("set").alias("_set")).dropDuplicates(["prop"]), "prop", "left")
+    w = Window.partitionBy("class", F.coalesce("_set", "prop")).orderBy("depth", "prop", "ancestor")
+    return joined.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_set", "ancestor", "depth")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 COMMITS = "ordinal long, commit string, parents array<string>, author_name string, author_email string, author_time string, committer_name string, committer_email string, committer_time string, summary string"
 
@@ -13,11 +14,12 @@ def _git(root: str, *args: str) -> str:
     return subprocess.run(["git", "-C", root, *args], check=True, capture_output=True, text=True).stdout
 
 
-def commits(spark: SparkSession, root: str, head: str = "HEAD") -> DataFrame:
-    """Oldest first in topological order; ``ordinal`` counts from 1."""
+def commits(spark: SparkSession, root: str, head: str = "HEAD", after: str | None = None, last: int = 0) -> DataFrame:
+    """Oldest first in topological order; ``ordinal`` counts on from ``last``. With ``after`` only commits that it does not reach."""
     form = "%x1e" + "%x1f".join(("%H", "%P", "%an", "%ae", "%aI", "%cn", "%ce", "%cI", "%s"))
     rows = []
-    for i, record in enumerate(_git(root, "log", "--topo-order", "--reverse", f"--format={form}", head).split("\x1e")[1:], 1):
+    span = [head] if after is None else [head, f"^{after}"]
+    for i, record in enumerate(_git(root, "log", "--topo-order", "--reverse", f"--format={form}", *span).split("\x1e")[1:], last + 1):
         sha, parents, *rest = record.rstrip("\n").split("\x1f")
         rows.append((i, sha, parents.split(), *rest))
     return spark.createDataFrame(rows, COMMITS)
@@ -43,6 +45,25 @@ def tree(spark: SparkSession, root: str, head: str = "HEAD") -> DataFrame:
     return spark.createDataFrame(rows, "path string, mode string, blob string, size long")
 
 
+def blobs(files: DataFrame) -> DataFrame:
+    """(blob, size): each content of a tree once, however many paths have it."""
+    return files.select("blob", "size").dropDuplicates(["blob"])
+
+
+def ignored(spark: SparkSession, root: str) -> DataFrame:
+    """(path): what the repository's ignore rules leave out; a folder that is ignored whole is one row."""
+    out = _git(root, "ls-files", "--others", "--ignored", "--exclude-standard", "--directory", "-z")
+    return spark.createDataFrame([(p.rstrip("/"),) for p in out.split("\0")[:-1]], "path string")
+
+
+def not_ignored(docs: DataFrame, left_out: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (path, ...) whose path is neither in ``left_out`` (path) nor below a folder in it."""
+    steps = F.split("path", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/")))
+    hit = docs.select("path", above.alias("above")).join(left_out.select(F.col("path").alias("above")), "above", "left_semi")
+    return docs.join(hit.select("path").distinct(), "path", "left_anti").select(docs.columns)
+
+
 def touched(spark: SparkSession, root: str, head: str = "HEAD") -> DataFrame:
     """(commit, status, path, old_path): each commit against its first parent, the first against the empty tree; halves alike are renames."""
     out = []

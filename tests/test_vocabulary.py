@@ -1,13 +1,15 @@
 """Turtle, sidecars, the graph catalogue and canonical queries on small hand-made rows."""
 
 import json
+import subprocess
 
 import pytest
 
 from quadloom.functions import extract
-from quadloom.operators import catalog, resolver, sidecar, vocabulary
+from quadloom.operators import catalog, resolver, shapes, sidecar, vocabulary
 from quadloom.plans.canonical import derived_property, one_line, refuse_old_address
 from quadloom.plans.engine import PREFIXES
+from quadloom.sources import git
 from quadloom.sources.quads import results_document, table_text
 from quadloom.sources.turtle import TurtleError, parse_turtle, read_turtle
 
@@ -116,3 +118,29 @@ def test_facts_of_links(spark):
     assert got == {("a/b.md", "linksTo", "a/c.md"), ("md.unresolvedLink", "hasValue", "../d"), ("md.unresolvedLink", "hasValue", "../../e")}
     got = {tuple(r)[1:4] for r in extract.facts(docs, _of(spark, [("d.md",)], "path string")).collect()}
     assert ("a/b.md", "linksTo", "d.md") in got and ("md.unresolvedLink", "hasValue", "c.md") in got
+
+
+def test_inherit_equivalents(spark):
+    own = _of(spark, [("Base", "name", "b"), ("Sub", "label", "s"), ("Base", "x", "b")], "class string, prop string, v string")
+    up = _of(spark, [("Sub", "Base", 1)], "class string, ancestor string, depth int")
+    same = _of(spark, [("name", "n"), ("label", "n")], "prop string, set string")
+    got = {(r["class"], r["prop"], r["v"]) for r in shapes.inherit(own, up, same).collect()}
+    assert got == {("Base", "name", "b"), ("Base", "x", "b"), ("Sub", "label", "s"), ("Sub", "x", "b")}
+
+
+def test_git_ranges_blobs_and_ignore_rules(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True, text=True).stdout.strip()
+    run("init", "-q")
+    (tmp_path / "out").mkdir()
+    for name, text in ((".gitignore", "out/\n*.log.md\n"), ("a.md", "x"), ("b.md", "x"), ("out/c.md", "y"), ("d.log.md", "z")):
+        (tmp_path / name).write_text(text)
+    run("add", "."), run("commit", "-qm", "one")
+    first = run("rev-parse", "HEAD")
+    (tmp_path / "a.md").write_text("w")
+    run("commit", "-qam", "two")
+    assert [(r.ordinal, r.summary) for r in git.commits(spark, str(tmp_path), after=first, last=1).collect()] == [(2, "two")]
+    assert git.commits(spark, str(tmp_path), after="HEAD").count() == 0
+    files = git.tree(spark, str(tmp_path), first)
+    assert files.count() == 3 and git.blobs(files).count() == 2
+    docs = _of(spark, [("a.md", 1), ("out/c.md", 2), ("out/deep/e.md", 3), ("d.log.md", 4), ("outer/f.md", 5), (None, 6)], "path string, n int")
+    assert sorted(r.n for r in git.not_ignored(docs, git.ignored(spark, str(tmp_path))).collect()) == [1, 5, 6]
