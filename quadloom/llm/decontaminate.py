@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, ship, stage
+from .common import free_name, holds, ship, stage
 
 BLOCK, SUPER = 8, 12
 THRESHOLD, OVERLAP, SHINGLE = 0.7, 0.8, 5
@@ -199,6 +199,7 @@ class Index:
 
 def runs(texts: pa.Array):
     """Yields (first row, words of each row) for runs of about STEP characters."""
+    holds("decontaminate")
     out, at, chars = [], 0, 0
     for i, t in enumerate(texts):
         t = t.as_py()

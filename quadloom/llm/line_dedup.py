@@ -57,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, ship
+from .common import Scratch, free_name, holds, ship, sized
 
 MIN_CHARS, LINE_CHARS, RARE, FAN_OUT, SALTS, BITMAP_BITS = 180, 24, 4, 64, 32, 1 << 26
 WINDOW, GRAM = 64, 8
@@ -230,6 +230,7 @@ def runs(hashes: np.ndarray, sizes: np.ndarray, least: int, last: np.ndarray | N
 
 def _parts(texts: pa.Array):
     """Yields (first row, folded texts) for runs of rows of about STEP characters."""
+    holds("line_dedup", _power.clear)
     out, at, chars = [], 0, 0
     for i, text in enumerate(texts):
         out.append(folded(text.as_py()))
@@ -475,19 +476,20 @@ def deletions(docs: DataFrame, scratch: Scratch, least: int = MIN_CHARS, least_l
     texts = docs.select(_doc().alias("doc"), F.xxhash64("text").alias("text_hash"), "text").where(F.length("text") >= min(least, least_line))
     lists = scratch.stage(texts.mapInArrow(_run_lists(least, least_line), LISTS), "runs")
     seen = lists.select("doc", F.explode("runs").alias("run")).groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    shared = scratch.stage(seen.where("first < last").select("run", "first"), "shared-runs")
+    shared = scratch.stage(sized(seen.where("first < last").select("run", "first")), "shared-runs")
     bitmap = spark.sparkContext.broadcast(_bitmap(shared))
     mine = lists.select("doc", "runs").mapInArrow(_shared_runs(bitmap), "run long, doc long")
     found = mine.join(shared.hint("merge"), "run").where("first < doc").select("first", "doc")
     lines = lists.select("doc", "text_hash", F.explode(F.arrays_zip("line_runs", "line_starts", "line_ends", "fresh")).alias("x"))
     lines = lines.select("doc", "text_hash", F.col("x.line_runs").alias("run"), F.col("x.line_starts").alias("start"), F.col("x.line_ends").alias("end"), F.col("x.fresh").alias("fresh"))
     seen = lines.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count_if("fresh").alias("n"))
-    shared = scratch.stage(seen.where("first < last").select("run", "first", (F.col("n") <= rare).alias("rare")), "shared-lines")
-    lines = scratch.stage(lines.join(shared.hint("merge"), "run").where("first < doc").select("first", "doc", "text_hash", "start", "end", "rare"), "found-lines")
-    pairs = scratch.stage(found.union(lines.where("rare").select("first", "doc")).distinct(), "pairs")
+    shared = scratch.stage(sized(seen.where("first < last").select("run", "first", (F.col("n") <= rare).alias("rare"))), "shared-lines")
+    lines = lines.join(shared.hint("merge"), "run").where("first < doc").select("first", "doc", "text_hash", "start", "end", "rare")
+    lines = scratch.stage(sized(lines), "found-lines")
+    pairs = scratch.stage(sized(found.union(lines.where("rare").select("first", "doc")).distinct()), "pairs")
     common_lines = lines.where("not rare").select("doc", "text_hash", F.col("first").alias("source"), "start", "end")
     # each first document meets its partners in cells of about fan_out; those of many partners are joined by salted keys
-    cells = scratch.stage(pairs.groupBy("first").agg(F.ceil(F.count("*") / fan_out).cast("int").alias("cells")), "cells")
+    cells = scratch.stage(sized(pairs.groupBy("first").agg(F.ceil(F.count("*") / fan_out).cast("int").alias("cells"))), "cells")
     salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS))
     wide = cells.where("cells > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     number = F.pmod(F.xxhash64("doc", F.lit(1)), F.coalesce("cells", F.lit(1)).cast("long"))
@@ -521,14 +523,16 @@ def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, least_line: int = LINE_
     with Scratch(docs.sparkSession) as scratch:
         gone = deletions(docs.select("doc_id", "text"), scratch, least, least_line, fan_out, rare)
         gone = gone.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("ranges"), F.array_sort(F.collect_set("source")).alias("sources"))
-        gone = scratch.keep(gone.mapInArrow(_kept, "doc long, text_hash long, kept array<struct<at:int,n:int>>, sources array<long>"), "deletions")
+        gone = gone.mapInArrow(_kept, "doc long, text_hash long, kept array<struct<at:int,n:int>>, sources array<long>")
+        gone = scratch.keep(sized(gone), "deletions")
     own = [c for c in docs.columns if c.lower() not in (sources.lower(), deleted.lower())]
     doc, text_hash, kept, of, short = (free_name(x, docs.columns) for x in ("doc", "text_hash", "kept", "of", "short"))
     # one plan at every size: what is deleted grows with the corpus, so it is never broadcast
     joined = docs.withColumns({doc: _doc(), text_hash: F.xxhash64("text")}).join(gone.toDF(doc, text_hash, kept, of).hint("merge"), [doc, text_hash], "left")
     text = F.when(F.col(kept).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda k: F.substring("text", k["at"] + 1, k["n"])), ""))
-    return joined.withColumn(short, text).select(
+    out = joined.withColumn(short, text).select(
         *(F.col(short).alias(c) if c == "text" else F.col(f"`{c}`") for c in own),
         F.coalesce(of, F.array().cast("array<bigint>")).alias(sources),
         F.coalesce(F.length("text") - F.length(short), F.lit(0)).alias(deleted),
     )
+    return sized(out)

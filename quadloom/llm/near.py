@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import Scratch, free_name, ship, stage
+from .common import Scratch, free_name, holds, ship, sized, stage
 
 BANDS, ROWS = 20, 5
 _KEYS = np.random.default_rng(64).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -62,6 +62,7 @@ def _sketches(shingle: int):
     """Rows (row, text): (row, node, bands); ``node`` names the set of shingles."""
 
     def run(batches):
+        holds("near")
         for batch in batches:
             own = [grams(t.as_py(), shingle) for t in batch.column(1)]
             node = np.array([xxhash.xxh64_intdigest(g.tobytes()) for g in own], np.uint64).view(np.int64)
@@ -121,16 +122,16 @@ def groups(rows: DataFrame, shingle: int = 5, radius: int = 6, at_least: float =
     with Scratch(spark) as scratch:
         alike = simhash.near_duplicates(texts, shingle, radius, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
         nodes = sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
-        nodes = scratch.stage(nodes.join(alike, "row"), "near-nodes")
+        nodes = scratch.stage(sized(nodes.join(alike, "row")), "near-nodes")
         names = F.concat("bands", F.array(F.xxhash64(F.lit("simhash"), "component_id")))
         routed = nodes.select(F.explode(names).alias("shard"), "node", "row")
         hot = routed.groupBy("shard").agg(F.count("*").alias("rows")).where("rows > 1")
-        routed = routed.join(hot, "shard")
+        routed = routed.join(hot.hint("merge"), "shard")  # never a broadcast, as in simhash.links
         parts = F.ceil(F.col("rows") / block).cast("int")
         mine = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
         others = F.filter(F.sequence(F.lit(0), parts - 1), lambda j: (parts == 1) | (j != mine))
         cells = F.transform(others, lambda j: F.xxhash64(F.col("shard"), F.least(mine, j), F.greatest(mine, j)))
-        cells = scratch.stage(routed.select(F.explode(cells).alias("cell"), "node", "row"), "near-cells")
+        cells = scratch.stage(sized(routed.select(F.explode(cells).alias("cell"), "node", "row")), "near-cells")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         filled = cells.join(texts.hint("merge"), "row").select("cell", "node", "text").repartition(n, "cell").sortWithinPartitions("cell")
         roots = simhash.components(filled.mapInArrow(_verified(shingle, at_least), "u long, v long"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, stage
+from .common import Scratch, holds, ship, sized, stage
 
 _SPACE = bytes.maketrans(b"\t\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz")
 _SPARE = b" "
@@ -79,6 +79,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches):
+        holds("simhash")
         for batch in batches:
             prints = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", "fp"])
@@ -222,7 +223,7 @@ def links(prints: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     routed = prints.select(F.explode(F.array(*band_keys(radius))).alias("shard"), "fp")
     hot = routed.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
-    routed = routed.join(hot, "shard")
+    routed = routed.join(hot.hint("merge"), "shard")  # Spark takes what explode makes for as small as its input and may broadcast it
     parts = F.ceil(F.col("rows") / block).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), parts).cast("int")
     # block i's tree answers blocks i, i + 1, ...: the tree's rows go to each of those cells
@@ -244,9 +245,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star passes settle in O(log^2) rounds of the longest path,
     so 60 are beyond any input; a table of each pass is deleted once the next is there.
+    The tables are as many files as their rows call for, for a pass writes four of them.
     """
     with Scratch(edges.sparkSession) as scratch:
-        edges = scratch.stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        edges = scratch.stage(sized(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), "edges")
 
         def sums(e):
             return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
@@ -257,13 +259,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 break
             both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
             # the least neighbours are written, so both sides of a join are plain and a hub's rows can be split
-            least = scratch.stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+            least = scratch.stage(sized(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 1), "least")
             large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-            large = scratch.stage(large, "large-star")
+            large = scratch.stage(sized(large, 1), "large-star")
             scratch.drop_all_but(1)
-            least = scratch.stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+            least = scratch.stage(sized(large.groupBy("u").agg(F.min("v").alias("m")), 1), "least")
             small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            edges = scratch.stage(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
+            edges = scratch.stage(sized(small.select("e.u", "e.v").where("u <> v").distinct(), 1), "small-star")
             scratch.drop_all_but(1)
             now = sums(edges)
             if now == state:
@@ -272,7 +274,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         else:
             raise RuntimeError("components did not settle")
         found = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        return scratch.keep(found, "components")
+        return scratch.keep(sized(found, 1), "components")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = 4096) -> DataFrame:
@@ -281,9 +283,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stage(rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
     with Scratch(docs.sparkSession) as scratch:
-        nodes = scratch.stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+        nodes = scratch.stage(sized(rows.groupBy("fp").agg(F.min("doc_id").alias("least"))), "fingerprint-nodes")
         roots = components(links(nodes.select("fp"), radius, block))
-        roots = scratch.keep(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+        roots = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        roots = scratch.keep(sized(roots), "roots")
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     of = roots.join(named, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import holds
+
 #: Distinct pieces that one worker remembers before it starts afresh.
 MEMO = 1_000_000
 _JOIN = 4000
@@ -111,6 +113,7 @@ _KEPT: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """The worker's own encoder; what it has learnt lasts from task to task."""
+    holds("tokens", _KEPT.clear)
     if path not in _KEPT:
         _KEPT[path] = Encoder(path)
     return _KEPT[path]

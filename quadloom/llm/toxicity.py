@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ship, stage
+from .common import holds, ship, sized, stage
 
 DEPTH, DISCOUNT, LOW_DISCOUNT, WINDOW = 8, 0.99, 0.75, 64
 CALIBRATION_ROWS = 20_000
@@ -195,6 +195,7 @@ _SEEN: dict[str, dict[str, float]] = {}
 
 
 def _memo(model: Model) -> dict[str, float]:
+    holds("toxicity", _SEEN.clear)
     if model.name not in _SEEN:
         _SEEN.clear()
         _SEEN[model.name] = {}
@@ -241,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Colum
     spark = docs.sparkSession
     ship(spark)
     labels = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.least(F.max("toxic"), F.lit(1)).alias("toxic"))
-    labels = stage(labels, "labels")
+    labels = stage(sized(labels), "labels")
     small = labels.count() <= LABELS_BROADCAST
     docs = docs.select("doc_id", "text")
 
@@ -250,11 +251,11 @@ def train(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Colum
         return docs.where(rule).join(F.broadcast(labels.where(rule)) if small else labels.where(rule), "doc_id").select("text", "toxic")
 
     words = labelled(counted).mapInArrow(_count_words, "word string, t long, o long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    words = stage(words, "words")
+    words = stage(sized(words), "words")
     totals = tuple(x or 0 for x in words.agg(F.sum("t"), F.sum("o")).first())
     long5 = "h long, parent long, tri long, t long, o long"
     known = words.mapInArrow(_prefixes, long5).groupBy("h").agg(F.first("parent").alias("parent"), F.first("tri").alias("tri"), F.sum("t").alias("t"), F.sum("o").alias("o"))
-    known = stage(known, "prefixes")
+    known = stage(sized(known), "prefixes")
     discount = DISCOUNT
     o = F.col("o") * F.lit(totals[0] / max(totals[1], 1))  # brings ordinary counts to the toxic total
 
@@ -262,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, counted: Column, calibrated: Colum
         return F.sum(x).cast("float")
 
     most = F.lit(discount)
-    low = stage(known.groupBy("tri").agg(F.count("*").alias("n")), "endings")
+    low = stage(sized(known.groupBy("tri").agg(F.count("*").alias("n"))), "endings")
     tables = {
         "child": known.select("h", F.col("t").cast("float"), o.cast("float")),
         "parent": known.groupBy("parent").agg(total("t"), total(o), total(F.least("t", most)), total(F.least(o, most)), total(F.least(F.col("t") + o, most))),

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -85,6 +86,13 @@ def test_simhash_blocks_and_random_codes(spark):
         assert {c: got.get(c, c) for c in codes} == want
 
 
+def test_simhash_shards_are_never_broadcast(spark):
+    """What explode makes of a small table may be large: 28 rows for each fingerprint at a radius of six."""
+    prints = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(prints, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_simhash_odd(spark, odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
@@ -502,6 +510,67 @@ def test_near_groups_by_blocks(spark):
         assert len({got[i] for i in range(40)}) == 1 and got[40] == got[41] and len(set(got.values())) == 3
 
 
+def test_pipeline_files_follow_the_rows(spark, tmp_path, monkeypatch):
+    """Many shuffle partitions do not make many files of small tables, and change no row."""
+    import corpus_pipeline as P
+    from quadloom.llm import common
+
+    few = spark.sparkContext.defaultParallelism
+    stages = dict(P.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    steps = [stages[name] for name in ("toxicity", "line_dedup", "simhash_near_dedup")]
+    want = [sorted(map(tuple, f(spark, docs, SF).collect()), key=str) for f in steps]
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(common, "remove", lambda *_: None)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("24", "false")):
+            spark.conf.set(k, v)
+        for f, rows in zip(steps, want):
+            out = f(spark, docs, SF)
+            assert out.rdd.getNumPartitions() <= few and sorted(map(tuple, out.collect()), key=str) == rows
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    files = {d.name: len(list(d.glob("part-*"))) for d in tmp_path.glob("quadloom/*/*")}
+    assert {name.rsplit("-", 1)[0] for name in files} >= {"words", "shared-runs", "edges", "small-star", "components"}
+    assert max(files.values()) <= few, files
+
+
+def test_pipeline_hands_out_small_batches(spark):
+    """Long texts come to a worker a few at a time."""
+    import corpus_pipeline as P
+    from quadloom.llm.common import BATCH
+
+    key, texts = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    kept = spark.conf.get(key)
+    try:
+        for f in (P.delete_repeated_lines, P.keep_one_of_each_group):
+            spark.conf.unset(key)
+            f(spark, spark.createDataFrame([(1, "a", "en", "s", 1)], DOCS), SF)
+            most = max(r.n for r in texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect())
+            assert most <= BATCH + 200_000
+        spark.conf.set(key, "1m")
+        P.small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, kept)
+
+
+def test_workers_keep_one_operators_memory():
+    """What a worker has learnt for one operator goes when the next begins."""
+    from quadloom.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens.encoder(path).encode(pa.array(["some words"]))
+    assert tokens._KEPT
+    model = toxicity.Model({k: pa.table({"key": pa.array([], pa.int64()), **{f"c{i}": pa.array([], pa.float64()) for i in range(n)}}) for k, n in (("child", 2), ("parent", 5), ("tri", 1), ("ctx", 2), ("uni", 1))}, 0.99)
+    toxicity.text_evidence(model, ["some words"])
+    assert not tokens._KEPT and toxicity._SEEN
+    tokens.encoder(path)
+    assert tokens._KEPT and not toxicity._SEEN
+
+
 def test_pipeline_odd(spark, odd, none, tmp_path):
     import corpus_pipeline as P
 
