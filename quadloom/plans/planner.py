@@ -9,6 +9,8 @@
   chain of n links takes log2(n) rounds; where an end is given, only what that
   end reaches is kept. Rounds are written to the shared checkpoint folder, so
   their lineage stays short.
+* Under an aggregate, sides that match many to many are counted before they are
+  joined: a row of distinct values carries how many it stands for (``.w``).
 * Tables are read as stars only where no stored quad or described graph can add
   to or hide their triples.
 """
@@ -41,6 +43,8 @@ class Info:
 class Rel:
     df: DataFrame
     vars: dict[str, Info]
+    #: variables of which a value has one row at most, if known
+    key: frozenset[str] | None = None
 
     def col(self, name: str) -> Column:
         return self.df[cid(name)]
@@ -98,7 +102,8 @@ class Planner:
     def plan(self, op: Op, graph=None) -> Rel:
         return getattr(self, "_" + op.kind)(op, graph)
 
-    def _bgp(self, op: Op, graph) -> Rel:
+    def _bgp(self, op: Op, graph, needed: set[str] | None = None) -> Rel:
+        """With ``needed``, the variables that an aggregate looks at, rows may carry a weight instead of being repeated."""
         stars: dict = {}
         rest = []
         for t in op.args:
@@ -117,9 +122,48 @@ class Planner:
         out = rels.pop(0)
         while rels:
             k = next((i for i, r in enumerate(rels) if set(r.vars) & set(out.vars)), 0)
-            out = self.join(out, rels.pop(k))
+            nxt = rels.pop(k)
+            if needed is None:
+                out = self.join(out, nxt)
+            else:
+                out = self.weighed_join(out, nxt, needed.union(*(r.vars for r in rels)))
         return out
 
+    def weighed(self, op: Op, graph, needed: set[str]) -> Rel:
+        """The plan of an aggregate's input; its rows have a weight (``.w``) where that saves repeating them."""
+        if op.kind == "bgp":
+            return self._bgp(op, graph, needed)
+        if op.kind == "filter" and not self.has_exists(op.args[0]):
+            return self._filter(op, graph, self.weighed(op.inputs[0], graph, needed | set(self.mentions(op.args[0]))))
+        if op.kind == "extend" and not self.has_exists(op.args[1]):
+            return self._extend(op, graph, self.weighed(op.inputs[0], graph, needed | set(self.mentions(op.args[1]))))
+        if op.kind == "join":
+            inner = needed | set(variables(op.inputs[0])) & set(variables(op.inputs[1]))
+            return self.weighed_join(*(self.weighed(x, graph, inner) for x in op.inputs), needed)
+        return self.plan(op, graph)
+
+    def weighed_join(self, a: Rel, b: Rel, needed: set[str]) -> Rel:
+        shared = {n for n in a.vars if n in b.vars and n != ".w"}
+        one_a, one_b = (r.key is not None and r.key <= shared for r in (a, b))
+        if not one_a and not one_b:
+            a, b = self.thin(a, needed | shared), self.thin(b, needed | shared)
+        key = a.key if one_b else b.key if one_a else None if a.key is None or b.key is None else a.key | b.key
+        if ".w" in a.vars and ".w" in b.vars:
+            r = self.join(self.rename(a, {".w": ".wa"}), self.rename(b, {".w": ".wb"}))
+            names = [n for n in r.vars if n not in (".wa", ".wb")]
+            return Rel(r.df.select(*(cid(n) for n in names), (r.col(".wa") * r.col(".wb")).alias(cid(".w"))), {n: r.vars[n] for n in names} | {".w": Info("integer")}, key)
+        r = self.join(a, b)
+        return Rel(r.df, r.vars, key)
+
+    def thin(self, r: Rel, names: set[str]) -> Rel:
+        """One row for each combination of the values of ``names``, with its weight."""
+        kept = [n for n in r.vars if n in names and n != ".w"]
+        if r.key is not None and r.key <= set(kept) or not all(r.vars[n].certain for n in kept):
+            return r
+        w = F.sum(r.col(".w")) if ".w" in r.vars else F.count(F.lit(1))
+        df = r.df.groupBy(*(cid(n) for n in kept)).agg(w.alias(cid(".w"))).where(F.col(cid(".w")) > 0)
+        return Rel(df, {n: r.vars[n] for n in kept} | {".w": Info("integer")}, frozenset(kept))
+
     def star(self, subject, name: str, ts: list[Triple]) -> Rel:
         table = self.data.tables[name]
         df, out, conds, info = table.df, {}, [], {}
@@ -147,7 +191,8 @@ class Planner:
             bind(t.o, F.col(c), table.kind(c))
         for c in conds:
             df = df.where(c)
-        return Rel(df.select(F.lit(1).alias("_"), *(c.alias(cid(n)) for n, c in out.items())).drop("_") if out else df.select(F.lit(1).alias("_")), info)
+        one = (frozenset((subject.name,)) if isinstance(subject, Var) else frozenset()) if len(table.key) == 1 else None
+        return Rel(df.select(F.lit(1).alias("_"), *(c.alias(cid(n)) for n, c in out.items())).drop("_") if out else df.select(F.lit(1).alias("_")), info, one)
 
     def pattern(self, t: Triple, graph) -> Rel:
         if isinstance(t.p, Path):
@@ -420,8 +465,8 @@ class Planner:
         right = y.df if b.vars else y.df.select(F.lit(1).alias("__"))
         return Rel(x.df.join(right, on, how), x.vars)
 
-    def _filter(self, op, graph):
-        rel, e = self.plan(op.inputs[0], graph), op.args[0]
+    def _filter(self, op, graph, rel: Rel | None = None):
+        rel, e = self.plan(op.inputs[0], graph) if rel is None else rel, op.args[0]
         parts = []
 
         def split(x):
@@ -450,10 +495,13 @@ class Planner:
         return self.restrict(rel, self.plan(inner, graph), how, conds=conds)
 
     def mentions(self, e) -> list[str]:
-        if isinstance(e, tuple):
-            return [e[1]] if e[:1] == ("var",) else [v for x in e[1:] for v in self.mentions(x)]
+        if isinstance(e, (tuple, list)):
+            return [e[1]] if e[:1] == ("var",) else [v for x in e for v in self.mentions(x)]
         return []
 
+    def has_exists(self, e) -> bool:
+        return isinstance(e, (tuple, list)) and (e[:1] == ("exists",) or any(self.has_exists(x) for x in e))
+
     def marked(self, rel: Rel, e, graph):
         """EXISTS within a larger expression becomes a column that tells."""
         if not isinstance(e, tuple) or not e:
@@ -489,8 +537,8 @@ class Planner:
     def scope(self, r: Rel) -> dict[str, tuple[Column, str]]:
         return {n: (r.col(n), i.kind) for n, i in r.vars.items()}
 
-    def _extend(self, op, graph):
-        r = self.plan(op.inputs[0], graph)
+    def _extend(self, op, graph, r: Rel | None = None):
+        r = self.plan(op.inputs[0], graph) if r is None else r
         r, e = self.marked(r, op.args[1], graph)
         c, kind = self.expr(e, self.scope(r))
         certain = e[0] == "term" or e[0] == "var" and e[1] in r.vars and r.vars[e[1]].certain
@@ -547,7 +595,15 @@ class Planner:
         return Rel(df if op.args[1] is None else df.limit(op.args[1]), r.vars)
 
     def _group(self, op, graph):
-        r = self.plan(op.inputs[0], graph)
+        exprs = [e for _, e in op.args[0]] + [a[3] for _, a in op.args[1] if a[3] is not None]
+        repeats = any(a[1] == "GROUP_CONCAT" and not a[2] or a[1] == "COUNT" and a[2] and a[3] is None for _, a in op.args[1])
+        if repeats or any(self.has_exists(e) for e in exprs):
+            r = self.plan(op.inputs[0], graph)
+        else:
+            r = self.weighed(op.inputs[0], graph, {v for e in exprs for v in self.mentions(e)})
+            sums = [self.expr(a[3], self.scope(r))[1] for _, a in op.args[1] if a[1] in ("SUM", "AVG") and not a[2]]
+            if ".w" in r.vars and "decimal" in sums:  # a product of decimals may lose digits
+                r = self.plan(op.inputs[0], graph)
         scope = self.scope(r)
         keys, info = [], {}
         for n, e in op.args[0]:
@@ -564,6 +620,10 @@ class Planner:
         return Rel(r.df.groupBy(*keys).agg(*aggs), info)
 
     def aggregate(self, name, distinct, e, sep, scope, r):
+        w = r.col(".w") if ".w" in r.vars and not distinct else None
+        if name == "COUNT" and w is not None:
+            w = w if e is None else F.when(self.expr(e, scope)[0].isNotNull(), w)
+            return F.coalesce(F.sum(w), F.lit(0)), "integer", True
         if name == "COUNT":
             if e is None:
                 c = F.count_distinct(F.struct(*(F.col(cid(n)) for n in r.vars))) if distinct else F.count(F.lit(1))
@@ -580,6 +640,9 @@ class Planner:
             if kind not in NUMERIC:
                 return F.when(F.count(c) == 0, F.lit(0.0)), "double", False
             f = (F.sum_distinct if distinct else F.sum) if name == "SUM" else (lambda x: F.sum_distinct(x) / F.count_distinct(x) if distinct else F.avg(x))
+            if w is not None:
+                # a value's weight in the sum is exact for whole numbers; the average divides by all weights
+                f = (lambda x: F.sum(x * w)) if name == "SUM" else (lambda x: F.sum(x.cast("double") * w) / F.sum(F.when(x.isNotNull(), w)))
             kind = kind if name == "SUM" else "double"
             return F.when(~wrong, F.coalesce(f(c), F.lit(0).cast(_CASTS[kind])).cast(_CASTS[kind])), kind, False
         if name in ("MIN", "SAMPLE"):

@@ -37,3 +37,27 @@ def test_documents_of_one_file_are_dealt_out(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", keep)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_to_many_is_counted_before_the_join(spark):
+    from quadloom.plans.dataset import Dataset, Table
+    from quadloom.plans.engine import Engine
+
+    left = spark.range(3000).selectExpr("id AS a", "id % 3 AS a_n", "CAST(id % 4 AS DOUBLE) AS a_v")
+    right = spark.range(2000).selectExpr("id AS b", "id % 4 AS b_n", "CAST(id % 5 AS INT) AS b_v")
+    e = Engine(Dataset(spark, {"l": Table(left, ("a",)), "r": Table(right, ("b",)), "e": Table(left.where("false").withColumnsRenamed({"a": "z", "a_n": "z_n", "a_v": "z_v"}), ("z",))}))
+    text = "SELECT ?n (COUNT(*) AS ?c) (COUNT(?v) AS ?k) (SUM(?v) AS ?s) (SUM(?u) AS ?t) (AVG(?u) AS ?m) (MAX(?v) AS ?x) (COUNT(DISTINCT ?v) AS ?d) WHERE { ?l :a_n ?n ; :a_v ?u . ?r :b_n ?n ; :b_v ?v } GROUP BY ?n"
+    got = e.query(text)
+    plain = left.join(right, left.a_n == right.b_n).groupBy("a_n").agg({"*": "count", "b_v": "sum", "a_v": "sum"}).collect()
+    want = {r["a_n"]: (r["count(1)"], r["count(1)"], r["sum(b_v)"], r["sum(a_v)"], r["sum(a_v)"] / r["count(1)"], 4, 5) for r in plain}
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+    # no join under the count may hold more rows than its inputs
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join ")
+    assert plan.count("Aggregate", join) == 2
+    # without a shared variable; an empty side leaves nothing, not a count of nought
+    assert e.query("SELECT (COUNT(*) AS ?c) WHERE { ?l :a_n ?n . ?r :b_n ?m }").first().c == 6_000_000
+    assert e.query("SELECT ?n (COUNT(*) AS ?c) WHERE { ?l :a_n ?n . ?r :z_n ?m } GROUP BY ?n").count() == 0
+    assert e.query("SELECT (COUNT(*) AS ?c) WHERE { ?l :a_n ?n . ?r :z_n ?n }").first().c == 0
+    assert e.query("SELECT (COUNT(*) AS ?c) WHERE { ?l :a_n ?n . ?r :b_n ?n FILTER(?n > 0) }").first().c == 1_000_000
+    assert e.query("SELECT ?n (SUM(ABS(?v)) AS ?s) WHERE { ?l :a_n ?n . ?r :b_n ?n ; :b_v ?v BIND(STRLEN(STR(?n)) AS ?k) FILTER(ABS(?n) IN (2, 1) && ?k = 1) } GROUP BY ?n").collect()[0].s == 1_000_000
