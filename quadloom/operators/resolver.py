@@ -1,11 +1,13 @@
 """Sidecar lines to facts by what the vocabularies declare, and notes on the keys that they do not.
 
-Every lookup is a frame; none is collected or hinted, so the size of a table decides how it is joined.
+Every lookup is a frame, and few of its keys have most lines. A small one is broadcast, so that lines stay where they
+are; a large one is joined by key and a salt, so that no key is one task's. None is collected.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.extract import split_values
 from .emit import percent_encode, resolve_value
 
+#: rows up to which a lookup is broadcast; shares that a key's lines are dealt into under a larger one
+SMALL, SALTS = 100_000, 64
+
 RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
 
 
@@ -28,6 +33,21 @@ class Lookups:
     kits: DataFrame
     deprecated: DataFrame
     things: tuple[str, ...] = ()
+    #: names of the lookups that are broadcast
+    small: frozenset[str] = frozenset()
+
+    def measured(self) -> Lookups:
+        """With ``small`` filled in; frames made from rows of the driver have no size that Spark knows."""
+        names = ("declared", "anywhere", "ranges", "kits", "deprecated")
+        counts = reduce(DataFrame.unionAll, [getattr(self, n).limit(SMALL + 1).select(F.lit(n).alias("n")) for n in names]).groupBy("n").count()
+        return replace(self, small=frozenset(names) - {r["n"] for r in counts.where(F.col("count") > SMALL).collect()})
+
+    def left(self, rows: DataFrame, name: str, lookup: DataFrame, on: list[str]) -> DataFrame:
+        """Rows (path, ...) left-joined with what is made of the lookup of that name."""
+        if name in self.small:
+            return rows.join(F.broadcast(lookup), on, "left")
+        salted = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"], "left").drop("salt")
 
 
 def _bracketed(c: Column) -> Column:
@@ -54,7 +74,7 @@ def _lines(lines: DataFrame, base: str, k: Lookups) -> DataFrame:
     keyed = (F.size(key) == 3) & (F.col("op") != "linksTo")
     rows = rows.select("*", *(F.when(keyed, key[i]).alias(n) for i, n in enumerate(("kit", "given", "prop"))))
     names = k.declared.groupBy("kit", F.lower("class").alias("low")).agg(F.min("class").alias("least"), F.collect_set("class").alias("all"))
-    rows = rows.withColumn("low", F.lower("given")).join(names, ["kit", "low"], "left").join(k.kits, "kit", "left")
+    rows = k.left(k.left(rows.withColumn("low", F.lower("given")), "declared", names, ["kit", "low"]), "kits", k.kits, ["kit"])
     cls = F.when(F.array_contains("all", F.col("given")), F.col("given")).otherwise(F.coalesce("least", "given"))
     home = F.coalesce("namespace", F.concat(F.lit(f"{base}ontology/"), "kit", F.lit("/")))
     return rows.select("path", "line", "subject", "op", "object", "kit", cls.alias("class"), "prop", F.when(F.col("kit").isNotNull(), home).alias("namespace"))
@@ -69,7 +89,7 @@ def _subjects(rows: DataFrame, base: str, k: Lookups) -> DataFrame:
     address = F.trim("object")
     whole = (F.col("prop") == "id") & address.rlike("^<[^/<>]+/[^/<>]+/[^<>]+>$") & ~address.contains("://")
     plain = k.declared.select("kit", "class", "prop").distinct().withColumn("known", F.lit(True))
-    ids = keyed.where((F.col("prop") == "id") | (F.col("prop") == own)).join(plain, ["kit", "class", "prop"], "left")
+    ids = k.left(keyed.where((F.col("prop") == "id") | (F.col("prop") == own)), "declared", plain, ["kit", "class", "prop"])
     ids = ids.join(first, "path").where("kit = of.kit AND class = of.class").groupBy("path", "of").agg(
         F.min_by(F.when(whole, F.expr("substring(trim(object), 2, length(trim(object)) - 2)")), F.when(whole, F.col("line"))).alias("address"),
         F.min_by(address, F.when((F.col("prop") == own) & F.col("known"), F.col("line"))).alias("own"),
@@ -88,11 +108,12 @@ def _declared(rows: DataFrame, k: Lookups) -> DataFrame:
     has = k.declared.dropDuplicates(["kit", "class", "prop"])
     by_name = has.select("kit", "class", "prop", F.struct("iri", "datatype", "is_object").alias("mine"))
     renamed = has.where("prop IN ('createdDate', 'updatedDate')").select("kit", "class", F.col("prop").alias("new"), F.struct("iri", "datatype", "is_object").alias("other"))
-    rows = rows.where("kit IS NOT NULL").withColumn("new", new).join(by_name, ["kit", "class", "prop"], "left").join(renamed, ["kit", "class", "new"], "left")
+    rows = k.left(rows.where("kit IS NOT NULL").withColumn("new", new), "declared", by_name, ["kit", "class", "prop"])
+    rows = k.left(rows, "declared", renamed, ["kit", "class", "new"])
     moved = F.col("mine").isNull() & F.col("other").isNotNull()
     rows = rows.withColumns({"prop": F.when(moved, F.col("new")).otherwise(F.col("prop")), "d": F.coalesce("mine", "other")})
     free = k.anywhere.dropDuplicates(["kit", "prop"]).select("kit", "prop", F.struct("iri", "datatype", "is_object").alias("free"))
-    rows = rows.join(free, ["kit", "prop"], "left")
+    rows = k.left(rows, "anywhere", free, ["kit", "prop"])
     return rows.withColumns(
         {
             "iri": F.coalesce("d.iri", "free.iri", F.concat("namespace", "prop")),
@@ -128,6 +149,9 @@ def facts(lines: DataFrame, base: str, k: Lookups) -> DataFrame:
     Links and plain keys are about the file; keyed lines are about the document's thing if they are of its class, else
     about the file. Malformed lines and those without an object give nothing; a path without keyed lines is a file alone.
     """
+    k = k.measured()
+    # all that belongs to a document is in one place, and no more of it than a share of the whole
+    lines = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     rows = _lines(lines, base, k)
     file = _bracketed(F.concat(F.lit(f"{base}File/"), percent_encode(F.col("path"))))
     null = F.lit(None).cast("string")
@@ -161,14 +185,14 @@ def facts(lines: DataFrame, base: str, k: Lookups) -> DataFrame:
     stated = keyed.where("NOT is_object")
     typed = F.when(F.col("datatype").isNull() | F.col("datatype").endswith("#string"), _quoted(F.col("object"))).otherwise(F.concat(_quoted(F.col("object")), F.lit("^^"), _bracketed(F.col("datatype"))))
     parts.append(out(stated, F.col("about"), _bracketed(F.col("iri")), typed))
-    refs = keyed.where("is_object").withColumn("part", F.explode(split_values(F.col("object")))).join(k.ranges.dropDuplicates(["iri"]), "iri", "left")
+    refs = k.left(keyed.where("is_object").withColumn("part", F.explode(split_values(F.col("object")))), "ranges", k.ranges.dropDuplicates(["iri"]), ["iri"])
     refs = refs.withColumn("r", _reference(base, k.things))
     value = F.when(F.col("r.kind") == "iri", _bracketed(F.col("r.value"))).when(F.col("r.kind") == "literal", _quoted(F.col("r.value")))
     good = value.isNotNull()
     parts.append(out(refs, F.when(good, F.col("about")), F.when(good, _bracketed(F.col("iri"))), value, F.col("r.error")))
 
     parts.append(out(lines.select("path").distinct(), file, F.lit(RDF_TYPE), F.lit(f"<{base}File>")))
-    anchored = subjects.join(k.kits.withColumnRenamed("kit", "of_kit"), F.col("of.kit") == F.col("of_kit"), "left")
+    anchored = k.left(subjects.withColumn("kit", F.col("of.kit")), "kits", k.kits, ["kit"])
     home = F.coalesce("namespace", F.concat(F.lit(f"{base}ontology/"), "of.kit", F.lit("/")))
     parts.append(out(anchored, F.col("thing"), F.lit(RDF_TYPE), _bracketed(F.concat(home, "of.class"))))
     parts.append(out(subjects, F.col("thing"), F.lit(f"<{base}fileId>"), file))
@@ -182,6 +206,7 @@ def key_notes(lines: DataFrame, base: str, k: Lookups) -> DataFrame:
     """(kit, class, prop, note, names): a row for each key worth a note. ``deprecated``: what replaces it; ``elsewhere``:
     the classes of its kit that have it; ``unknown``: up to three declared keys of the class that hold its name or are held
     in it. Keys of a kit that is installed and declares nothing are left alone, and references are never noted."""
+    k = k.measured()
     keys = _declared(_lines(lines, base, k), k).where("NOT is_object").select("kit", "class", "prop", "known").distinct()
     retired = k.deprecated.dropDuplicates(["kit", "prop"]).select("kit", "prop", "replacement", F.lit(True).alias("retired"))
     keys = keys.join(retired, ["kit", "prop"], "left")

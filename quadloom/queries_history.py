@@ -377,6 +377,8 @@ def _customer_lines(spark, sf_dir):
         says("old-links", F.lit("a/b.md, plain")),
         says("md.externalLink", F.lit("https://x.example/")),
     )
+    # twelve lines of a row: dealt out before there are so many
+    c = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
     return c.select(F.concat(F.lit("doc/"), key).alias("path"), F.explode(lines).alias("line"))
 
 

@@ -61,3 +61,27 @@ def test_many_to_many_is_counted_before_the_join(spark):
     assert e.query("SELECT (COUNT(*) AS ?c) WHERE { ?l :a_n ?n . ?r :z_n ?n }").first().c == 0
     assert e.query("SELECT (COUNT(*) AS ?c) WHERE { ?l :a_n ?n . ?r :b_n ?n FILTER(?n > 0) }").first().c == 1_000_000
     assert e.query("SELECT ?n (SUM(ABS(?v)) AS ?s) WHERE { ?l :a_n ?n . ?r :b_n ?n ; :b_v ?v BIND(STRLEN(STR(?n)) AS ?k) FILTER(ABS(?n) IN (2, 1) && ?k = 1) } GROUP BY ?n").collect()[0].s == 1_000_000
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_lines_of_one_kit_are_no_single_task(spark, monkeypatch, small):
+    from quadloom.operators import resolver
+
+    monkeypatch.setattr(resolver, "SMALL", small)
+    k = resolver.Lookups(
+        declared=spark.createDataFrame([("kit", "Doc", "size", "u:size", None, False)], "kit string, class string, prop string, iri string, datatype string, is_object boolean"),
+        anywhere=spark.createDataFrame([("kit", "free", "u:free", None, False)], "kit string, prop string, iri string, datatype string, is_object boolean"),
+        ranges=spark.createDataFrame([], "iri string, range string"),
+        kits=spark.createDataFrame([("kit", "u:kit/")], "kit string, namespace string"),
+        deprecated=spark.createDataFrame([], "kit string, prop string, replacement string"),
+    ).measured()
+    assert ("declared" in k.small) == (small > 0)
+    lines = spark.range(0, 400, 1, 4).selectExpr("concat('d/', id) AS path", "'kit.doc.size | hasValue | 1' AS line")
+    got = resolver.facts(lines, "u:", k)
+    assert got.where("p = '<u:size>'").count() == 400 and got.count() == 1200
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [len(part) for part in resolver._lines(lines, "u:", k).rdd.glom().collect()]
+        assert sum(rows) == 400 and max(rows) < 300
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
