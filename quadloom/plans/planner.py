@@ -68,6 +68,8 @@ _CASTS = {"integer": "bigint", "decimal": "decimal(38,10)", "double": "double",
 class Planner:
     def __init__(self, data: Dataset):
         self.data, self.spark, self.fresh = data, data.spark, count()
+        #: variable -> how its STR starts, by a filter around what is being planned
+        self.starts: dict[str, str] = {}
 
     # constants
     def constant(self, t) -> tuple[Column, str]:
@@ -134,7 +136,7 @@ class Planner:
         if op.kind == "bgp":
             return self._bgp(op, graph, needed)
         if op.kind == "filter" and not self.has_exists(op.args[0]):
-            return self._filter(op, graph, self.weighed(op.inputs[0], graph, needed | set(self.mentions(op.args[0]))))
+            return self._filter(op, graph, lambda x, g: self.weighed(x, g, needed | set(self.mentions(op.args[0]))))
         if op.kind == "extend" and not self.has_exists(op.args[1]):
             return self._extend(op, graph, self.weighed(op.inputs[0], graph, needed | set(self.mentions(op.args[1]))))
         if op.kind == "join":
@@ -247,19 +249,7 @@ class Planner:
         if p.kind == "alt":
             return reduce(self.union, [self.edges(q, graph) for q in a])
         if p.kind == "neg":
-            fwd = [q for q in a if isinstance(q, Iri)]
-            back = [q.args[0] for q in a if isinstance(q, Path)]
-            v = Var(".p")
-
-            def without(names):
-                r = self.pattern(Triple(s, v, o), graph)
-                return Rel(r.df.where(~r.col(".p").isin([const_text(n) for n in names])).select(cid(".s"), cid(".o")), {".s": Info("term"), ".o": Info("term")})
-
-            parts = [without(fwd)] if fwd or not back else []
-            if back:
-                e = without(back)
-                parts.append(Rel(e.df.select(e.col(".o").alias(cid(".s")), e.col(".s").alias(cid(".o"))), e.vars))
-            return reduce(self.union, parts)
+            return self.negated(p, graph)
         e = self.edges(a[0], graph)
         kind = e.vars[".s"].kind if e.vars[".s"].kind == e.vars[".o"].kind else "term"
         base = e.df.select(self.to(e, ".s", kind).alias("s"), self.to(e, ".o", kind).alias("o")).distinct()
@@ -269,6 +259,22 @@ class Planner:
             pairs = pairs.union(nodes.select("n", "n")).distinct()
         return Rel(pairs.select(F.col("s").alias(cid(".s")), F.col("o").alias(cid(".o"))), {".s": Info(kind), ".o": Info(kind)})
 
+    def negated(self, p, graph, s_start: str = "", o_start: str = "") -> Rel:
+        """(.s, .o) of a negated set; what a filter says of the ends and which predicates are out limits what is read."""
+        fwd = [q for q in p.args if isinstance(q, Iri)]
+        back = [q.args[0] for q in p.args if isinstance(q, Path)]
+        where = graph.value if isinstance(graph, Iri) else "*" if graph is not None else None
+
+        def without(names, ends, *starts):
+            names = tuple(n.value for n in names)
+            rows = self.data.scan(where, names, *starts).where(~F.col("p").isin([f"<{n}>" for n in names]))
+            return Rel(rows.select(*(F.col(c).alias(cid(n)) for c, n in zip("so", ends))), {n: Info("term") for n in ends})
+
+        parts = [without(fwd, (".s", ".o"), s_start, o_start)] if fwd or not back else []
+        if back:
+            parts.append(without(back, (".o", ".s"), o_start, s_start))
+        return reduce(self.union, parts)
+
     def nodes(self, graph, kind: str) -> DataFrame:
         """Zero-length paths: every subject and object, or every row of the class that the path stays in."""
         if kind.startswith("entity:"):
@@ -342,7 +348,8 @@ class Planner:
             return self._bgp(Op("bgp", (Triple(t.o, t.p.args[0], t.s),)), graph)
         if t.p.kind in ("star", "plus", "opt") and not (isinstance(t.s, Var) and isinstance(t.o, Var)):
             return self.bound_path(t, graph)
-        e = self.edges(t.p, graph)
+        ends = [self.starts.get(x.name, "") if isinstance(x, Var) else "" for x in (t.s, t.o)]
+        e = self.negated(t.p, graph, *ends) if t.p.kind == "neg" else self.edges(t.p, graph)
         rel = self.rename(e, {".s": ".ps", ".o": ".po"})
         for term, name in ((t.s, ".ps"), (t.o, ".po")):
             if isinstance(term, Var):
@@ -465,9 +472,8 @@ class Planner:
         right = y.df if b.vars else y.df.select(F.lit(1).alias("__"))
         return Rel(x.df.join(right, on, how), x.vars)
 
-    def _filter(self, op, graph, rel: Rel | None = None):
-        rel, e = self.plan(op.inputs[0], graph) if rel is None else rel, op.args[0]
-        parts = []
+    def _filter(self, op, graph, plan=None):
+        e, parts = op.args[0], []
 
         def split(x):
             if x[0] == "&&":
@@ -476,6 +482,16 @@ class Planner:
                 parts.append(x)
 
         split(e)
+        kept = self.starts
+        # within one group only: elsewhere a variable of that name may be another, or unbound
+        self.starts = {}
+        if op.inputs[0].kind == "bgp":
+            for x in parts:
+                match x:
+                    case ("call", "STRSTARTS", (("call", "STR", (("var", name),)), ("term", Lit() as start))) if start.dt == XSD + "string":
+                        self.starts[name] = max(self.starts.get(name, ""), start.lex, key=len)
+        rel = (plan or self.plan)(op.inputs[0], graph)
+        self.starts = kept
         for x in parts:
             if x[0] == "exists":
                 rel = self.exists(rel, x[1], "left_semi", graph)

@@ -85,3 +85,29 @@ def test_lines_of_one_kit_are_no_single_task(spark, monkeypatch, small):
         assert sum(rows) == 400 and max(rows) < 300
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def _tables(spark):
+    from quadloom.plans.dataset import Dataset, Table
+
+    a = spark.createDataFrame([(1, "x", 2), (2, "https://data.example/b/7", 2)], "a_key int, a_name string, a_b int")
+    b = spark.createDataFrame([(2, "two", 1.5), (3, "three", 2.5)], "b_key int, b_name string, b_v double")
+    wide = spark.createDataFrame([(9, 4.5)], "w_key int, w_v double")
+    return Dataset(spark, {"a": Table(a, ("a_key",), {"a_b": "b"}), "b": Table(b, ("b_key",)), "wide": Table(wide, ("w_key",))})
+
+
+def _reads(df, column):
+    return column in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_negated_path_reads_what_its_filter_leaves(spark):
+    from quadloom.plans.engine import Engine
+
+    e = Engine(_tables(spark))
+    text = 'SELECT ?s ?o WHERE { ?s !(:b_name|^:b_v) ?o FILTER(STRSTARTS(STR(?s), "https://data.example/b/")) }'
+    got = e.query(text)
+    # forward: b's own triples; backward: a link to b and a text that starts so
+    want = [("https://data.example/b/2", o) for o in ("2", "1.5", "https://data.example/b", "https://data.example/a/1", "https://data.example/a/2")]
+    want += [("https://data.example/b/3", o) for o in ("3", "2.5", "https://data.example/b")] + [("https://data.example/b/7", "https://data.example/a/2")]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert not _reads(got, "w_v") and not _reads(got, "w_key")
