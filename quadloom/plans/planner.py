@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from .algebra import RDF_TYPE, XSD, Iri, Lit, Op, Path, Quoted, Query, Triple, Var, variables
-from .dataset import NUMERIC, Dataset
+from .dataset import NUMERIC, Dataset, Table
 
 
 class Unsupported(ValueError):
@@ -791,6 +791,19 @@ class Planner:
             out = r.df.select(F.explode(F.array(*rows)).alias("t")).select("t.*").dropna()
             # subjects are no literals and predicates are IRIs
             return out.where(~T.is_literal(F.col("s")) & T.is_iri(F.col("p"))).distinct()
+        if self.data.quads is None and not self.data.catalog and "*" not in q.template and all(isinstance(t, Var) and t.name in r.vars and r.vars[t.name].kind.startswith("entity:") for t in q.template):
+            # things of known classes have triples in their own tables alone
+            parts = []
+            for kind in {r.vars[t.name].kind: 0 for t in q.template}:
+                names = [t.name for t in q.template if r.vars[t.name].kind == kind]
+                keys = reduce(DataFrame.union, [r.df.select(r.col(n).alias("_k")) for n in names]).distinct()
+                table = self.data.tables[kind[7:]]
+                rows = table.df.join(keys, table.subject() == F.col("_k"), "left_semi")
+                own = {p: c for p, c in self.data.predicates.items() if c[0] == kind[7:]}
+                one = Dataset(self.spark, {kind[7:]: Table(rows, table.key, table.links)}, base=self.data.base)
+                one.predicates = own
+                parts.append(one.triples().select("s", "p", "o"))
+            return reduce(DataFrame.union, parts)
         wanted = [t for t in q.template if t != "*"] if "*" not in q.template else [Var(n) for n in q.variables]
         parts = []
         for t in wanted:

@@ -111,3 +111,11 @@ def test_negated_path_reads_what_its_filter_leaves(spark):
     want += [("https://data.example/b/3", o) for o in ("3", "2.5", "https://data.example/b")] + [("https://data.example/b/7", "https://data.example/a/2")]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert not _reads(got, "w_v") and not _reads(got, "w_key")
+
+
+def test_describe_of_a_known_class_reads_its_table(spark):
+    from quadloom.plans.engine import Engine
+
+    got = Engine(_tables(spark)).query('DESCRIBE ?b WHERE { ?a :a_name "x" ; :a_b ?b }')
+    assert sorted(r.o for r in got.collect()) == ['"1.5"^^<http://www.w3.org/2001/XMLSchema#double>', '"2"^^<http://www.w3.org/2001/XMLSchema#integer>', '"two"', "<https://data.example/b>"]
+    assert not _reads(got, "w_v") and {r.s for r in got.collect()} == {"<https://data.example/b/2>"}
